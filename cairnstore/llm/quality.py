@@ -19,10 +19,10 @@ from cairnstore.llm.common import held_out, map_columns, training_rows
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 WIDTH = 8
-EPOCHS = 6
+EPOCHS = 5
 RATE = 0.4
 #: Labelled documents that the model is fitted on, at most.
-TRAINING_ROWS = 6_000
+TRAINING_ROWS = 4_000
 #: Code points handled at a time; the grams that cross two blocks are counted once.
 BLOCK = 1 << 20
 
@@ -92,7 +92,7 @@ def train(rows: DataFrame, seed: int = 7) -> tuple[np.ndarray, float]:
         return np.zeros(BUCKETS, dtype=np.float32), 0.0
     rng = np.random.default_rng(seed)
     table = ((rng.random((BUCKETS, WIDTH)) - 0.5) / WIDTH).astype(np.float32)
-    layer, bias = np.zeros((WIDTH, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
+    layer, bias = (rng.random((WIDTH, 2)) - 0.5).astype(np.float32), np.zeros(2, dtype=np.float32)
     steps, step = EPOCHS * len(sample), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(sample)):
@@ -107,7 +107,7 @@ def train(rows: DataFrame, seed: int = 7) -> tuple[np.ndarray, float]:
             p[label] -= 1
             back = layer @ p
             layer -= rate * np.outer(hidden, p)
-            bias -= rate * p
+            bias -= rate * 0.1 * p
             # The gradient of a mean is small for each vector of a long text; scaled as if it had few features.
             table[ids] -= (rate * 16) * share[:, None] * back
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
@@ -126,7 +126,7 @@ def score_text(text: str | None, logits: np.ndarray, bias: float) -> float:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = TRAINING_ROWS) -> DataFrame:
-    """(doc_id, text, held_out, score, predicted) of every document row."""
+    """(doc_id, held_out, score, predicted) of every document row."""
     logits, bias = train(training_rows(docs, labels, label, bound))
     shared = docs.sparkSession.sparkContext.broadcast(logits)
 
