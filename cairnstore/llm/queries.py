@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnstore.llm import decontaminate, htmltext, quality, sentencepieces, topk, toxicity
+from cairnstore.llm import decontaminate, htmltext, neardup, quality, sentencepieces, topk, toxicity
 
 
 TOPK_SQL = """
@@ -46,6 +46,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def piece_model() -> str:
     """The vocabulary file's place on this machine and on every executor."""
     import public_tokenizers
@@ -68,6 +72,7 @@ def queries() -> dict:
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
         "op5_topk": op5_topk,
+        "op6_near_duplicates": op6_near_duplicates,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_html_text": op9_html_text,
     }
