@@ -7,12 +7,8 @@ then on, so exact copies cost nothing further. Runs of registers are banded; cla
 candidates. A sketch estimate, corrected for register collisions, drops hopeless candidates, and the rest are
 confirmed on full sets. Components come from a distributed union-find.
 
-A band may hold any number of classes, so its pairs are never listed. Instead, in turn:
-1. each class meets the smallest class of the bands they share most of; links make components;
-2. it meets the smallest class of each other band, unless the two are connected by now;
-3. what is still apart inside a band meets across components only: those that are not with the band's smallest
-   class meet the band's other components.
-So every pair of a band is confirmed, refused or already connected, and components are exact for all candidates.
+A band may hold any number of classes, so its pairs are never listed: see `bands.banded_components`, after which
+every pair of a band is confirmed, refused or already connected, so components are exact for all candidates.
 At similarity 0.85 a pair misses every band with probability 1e-6.
 
 Defined results: a null or blank text has an empty set, linked with nothing; fewer words than a shingle are one
@@ -27,8 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnstore.llm.bands import banded_components, labelled
 from cairnstore.llm.common import checkpointed, map_columns
-from cairnstore.llm.graph import connected_components
 
 REGISTERS, ROWS, BANDS = 256, 7, 36
 MANTISSA = 10
@@ -193,37 +189,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     banded = classes.select("id", "n", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where(F.col("hub") != F.col("last"))
     met = checkpointed(banded.join(hubs.select("band", "hub"), "band"))
-    # How many bands a class shares with each hub; the best hub is met first.
-    shared = checkpointed(met.where(F.col("id") != F.col("hub")).groupBy("id", "hub").agg(F.count("*").alias("n")))
     sets = checkpointed(_sets(docs, met.select("id").distinct(), words))
-    first = shared.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    links = checkpointed(_confirmed(first.select(F.col("id").alias("src"), F.col("hub").alias("dst")), sets, percent))
-    labels = connected_components(links)
-
-    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
-        named = labels.select(F.col("id").alias(column), F.col("component").alias("found"))
-        return df.join(named, column, "left").withColumn(name, F.coalesce("found", column)).drop("found")
-
-    apart = labelled(labelled(shared.join(first, ["id", "hub"], "left_anti"), "id", "c1"), "hub", "c2")
-    apart = apart.where(F.col("c1") != F.col("c2")).select(F.col("id").alias("src"), F.col("hub").alias("dst"))
-    links = checkpointed(links.unionByName(_confirmed(apart, sets, percent)))
-    labels = connected_components(links)
-
-    # What a band still holds apart.
-    inside = labelled(labelled(met, "id", "c1"), "hub", "c2")
-    off = checkpointed(inside.where(F.col("c1") != F.col("c2")).select("band", "id", "n", "c1"))
-    if not off.isEmpty():
-        every = labelled(met.join(off.select("band").distinct(), "band", "left_semi"), "id", "c")
-        every = every.where(F.col("id") != F.col("hub"))  # the hub itself has been met
-        every = every.select("band", F.col("id").alias("other"), F.col("n").alias("m"), "c")
-        cross = off.join(every, "band").where(
-            (F.col("c1") != F.col("c"))
-            & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        )
-        cross = cross.select(F.greatest("id", "other").alias("src"), F.least("id", "other").alias("dst")).distinct()
-        links = checkpointed(links.unionByName(_confirmed(cross, sets, percent)))
-        labels = connected_components(links)
-    named = labelled(classes.select("digest", "id"), "id", "component_id").select("digest", "component_id")
+    labels = banded_components(met, lambda pairs: _confirmed(pairs, sets, percent), percent)
+    named = labelled(classes.select("digest", "id"), labels, "id", "component_id").select("digest", "component_id")
     return (
         rows.select("doc_id", "n_shingles", "digest")
         .join(named, "digest", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnstore.llm import decontaminate, htmltext, neardup, quality, sentencepieces, topk, toxicity
+from cairnstore.llm import decontaminate, htmltext, linededup, neardup, quality, sentencepieces, topk, toxicity
 
 
 TOPK_SQL = """
@@ -50,6 +50,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.digests(linededup.dedup_lines(docs))
+
+
 def piece_model() -> str:
     """The vocabulary file's place on this machine and on every executor."""
     import public_tokenizers
@@ -73,6 +78,7 @@ def queries() -> dict:
         "op4_toxicity": op4_toxicity,
         "op5_topk": op5_topk,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_line_dedup": op7_line_dedup,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_html_text": op9_html_text,
     }
