@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnstore.llm.common import checkpointed
+from cairnstore.llm.common import among, checkpointed
 from cairnstore.llm.graph import connected_components
 
 
@@ -17,40 +17,82 @@ def labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFr
     return df.join(named, column, "left").withColumn(name, F.coalesce("found", column)).drop("found")
 
 
-def banded_components(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _private(grams: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, u): the size of each set, and how many of its grams no other set among ``ids`` has."""
+    rows = grams.join(ids, "id", "left_semi")
+    alone = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") == 1)
+    alone = alone.groupBy("id").agg(F.count("*").alias("u"))
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
+    return checkpointed(sizes.join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u")))
+
+
+def banded_components(
+    met: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], grams: DataFrame, percent: int
+) -> DataFrame:
     """(id, component) of the linked ids.
 
-    ``met`` (id, n, band, hub): ids with their set sizes in each band, with the band's smallest id.
-    ``confirm`` keeps those (src, dst) whose sets are alike by ``percent``. In turn
+    ``met`` (id, band, hub): the ids in each band, with the band's smallest id. ``grams`` (id, gram): their sets.
+    ``measure(pairs, gate)`` gives (src, dst, a, r, both): the sizes of two sets without what they share, and what
+    they share; with ``gate`` it may leave out pairs that are not alike by ``percent``. In turn
     1. each id meets the hub of the bands it shares most of;
     2. it meets its other hubs, unless the two are connected by now;
-    3. ids of a band that are not connected with its hub meet the band's other components.
-    So every pair of a band is confirmed, refused or connected already.
+    3. in bands with ids that are still apart, every id meets the band's centre: the one with the least share of
+       grams that no other of these sets has;
+    4. ids that are not connected with the centre meet the band's other components, unless what is known rules a
+       link out: two sets differ from the centre in a grams of their own, u of which nobody else has, and in r
+       grams they lack, so they differ from each other in a + a' + r + r' - 2 (min(a - u, a' - u') + min(r, r'))
+       grams at least.
+    So every pair of a band is confirmed, refused or already connected, and none is listed that is ruled out.
     """
-    # How many bands an id shares with each hub; the best hub is met first.
+
+    def alike(measured: DataFrame) -> DataFrame:
+        return measured.where(100 * F.col("both") >= percent * (F.col("a") + F.col("r") + F.col("both"))).select("src", "dst")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return alike(measure(pairs, True))
+
     shared = checkpointed(met.where(F.col("id") != F.col("hub")).groupBy("id", "hub").agg(F.count("*").alias("n")))
     first = shared.groupBy("id").agg(F.max(F.struct("n", (-F.col("hub")).alias("minus"))).alias("best"))
     first = first.select("id", (-F.col("best.minus")).alias("hub"))
     links = checkpointed(confirm(first.select(F.col("id").alias("src"), F.col("hub").alias("dst"))))
     labels = connected_components(links)
 
-    apart = labelled(labelled(shared.join(first, ["id", "hub"], "left_anti"), labels, "id", "c1"), labels, "hub", "c2")
-    apart = checkpointed(apart.where(F.col("c1") != F.col("c2")).select(F.col("id").alias("src"), F.col("hub").alias("dst")))
-    if not apart.isEmpty():
-        links = checkpointed(links.unionByName(confirm(apart)))
+    def further(pairs: DataFrame) -> bool:
+        """Confirm more pairs; false if there are none."""
+        nonlocal links, labels
+        pairs = checkpointed(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+        if pairs.isEmpty():
+            return False
+        links = checkpointed(links.unionByName(confirm(pairs)))
         labels = connected_components(links)
+        return True
+
+    def apart(rows: DataFrame, a: str, b: str) -> DataFrame:
+        both = labelled(labelled(rows, labels, a, "c1"), labels, b, "c2")
+        return both.where(F.col("c1") != F.col("c2"))
 
-    inside = labelled(labelled(met, labels, "id", "c1"), labels, "hub", "c2")
-    off = checkpointed(inside.where(F.col("c1") != F.col("c2")).select("band", "id", "n", "c1"))
-    if not off.isEmpty():
-        every = labelled(met.join(off.select("band").distinct(), "band", "left_semi"), labels, "id", "c")
-        every = every.where(F.col("id") != F.col("hub"))  # the hub itself has been met
-        every = every.select("band", F.col("id").alias("other"), F.col("n").alias("m"), "c")
-        alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-        cross = off.join(every, "band").where((F.col("c1") != F.col("c")) & alike)
-        cross = cross.select(F.greatest("id", "other").alias("src"), F.least("id", "other").alias("dst")).distinct()
-        cross = checkpointed(cross)
-        if not cross.isEmpty():
-            links = checkpointed(links.unionByName(confirm(cross)))
-            labels = connected_components(links)
+    further(apart(shared, "id", "hub").join(first, ["id", "hub"], "left_anti").select(F.col("id").alias("src"), F.col("hub").alias("dst")))
+    bands = checkpointed(apart(met, "id", "hub").select("band").distinct())
+    if bands.isEmpty():
+        return labels
+    here = checkpointed(among(met, "band", bands, exact=False).join(bands, "band").select("band", "id"))
+    here = checkpointed(here.join(_private(grams, here.select("id").distinct()), "id"))
+    centres = here.groupBy("band").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "id")).alias("least"))
+    here = checkpointed(here.join(centres.select("band", F.col("least.id").alias("centre")), "band"))
+    spokes = here.where(F.col("id") != F.col("centre")).select(F.col("id").alias("src"), F.col("centre").alias("dst")).distinct()
+    spokes = checkpointed(measure(spokes, False))
+    links = checkpointed(links.unionByName(alike(spokes)))
+    labels = connected_components(links)
+    spokes = spokes.select(F.col("src").alias("id"), F.col("dst").alias("centre"), "a", "r")
+    here = checkpointed(here.join(spokes, ["id", "centre"]))  # without the centre, which has been met
+    off = checkpointed(apart(here, "id", "centre").select("band", "id", "n", "u", "a", "r", "c1"))
+    if off.isEmpty():
+        return labels
+    every = labelled(here.join(off.select("band").distinct(), "band", "left_semi"), labels, "id", "c2")
+    every = every.select("band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "u", "a", "r")], "c2")
+    shared_most = F.least(F.col("a") - F.col("u"), F.col("a2") - F.col("u2")) + F.least("r", "r2")
+    differ = F.col("a") + F.col("r") + F.col("a2") + F.col("r2") - 2 * shared_most
+    possible = (100 - percent) * (F.col("n") + F.col("n2")) >= (100 + percent) * differ
+    cross = off.join(every, "band").where((F.col("c1") != F.col("c2")) & possible)
+    further(cross.select(F.col("id").alias("src"), F.col("id2").alias("dst")))
     return labels

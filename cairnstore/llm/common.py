@@ -51,16 +51,43 @@ def map_columns(df: DataFrame, columns: list[str], make: Callable, schema: str)
     return df.select(*columns).mapInArrow(run, fields)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; a folder of our own only where none is configured."""
-    context = df.sparkSession.sparkContext
+def filter_rows(df: DataFrame, columns: list[str], make: Callable) -> DataFrame:
+    """The rows of ``df`` for which ``make()(*column_lists)`` gives true; ``make`` runs once a task."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        test = make()
+        for batch in batches:
+            yield batch.filter(pa.array(test(*[batch.column(c).to_pylist() for c in columns]), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; a folder of our own only where none is configured."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``column`` (a long) is not in ``keys``; only rows in a key's hash bucket are shuffled."""
+    keys = checkpointed(keys.distinct())
+    own = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int") == F.col("bucket")
+    wanted = F.broadcast(keys.select(F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct())
+    near, rest = rows.join(wanted, own, "left_semi"), rows.join(wanted, own, "left_anti")
+    return near.join(keys, column, "left_anti").unionByName(rest)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the third of documents whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -81,3 +108,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     )
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     return texts.join(F.broadcast(picked), "doc_id")
+
+
+#: Bucket numbers in a bounded broadcast set.
+BUCKETS = 1 << 20
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame, exact: bool = True) -> DataFrame:
+    """The rows whose ``column`` (a long) is in ``keys``: by hash buckets first, then exactly.
+
+    The broadcast set holds at most `BUCKETS` integers however many keys there are. It spares most other rows the
+    shuffle of the exact step and drops none that is needed; with very many keys it merely spares less.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+    wanted = keys.select(bucket.alias("bucket")).distinct()
+    near = rows.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+    return near.join(keys, column, "left_semi") if exact else near

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnstore.llm.common import map_columns
+from cairnstore.llm.common import filter_rows, map_columns
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of distinct patterns in one automaton, some 64 bytes of memory each.
@@ -89,13 +89,17 @@ def scanner(block: dict[str, set]):
     return scan
 
 
+def benchmark_blocks(benchmark: DataFrame, window: int, limit: int = AUTOMATON_BYTES) -> list[dict]:
+    rows = ((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator())
+    return list(pattern_blocks(rows, window, limit))
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items) of every document row.
 
     ``spans`` are the maximal runs of hit words as [start, end) code points of the original text.
     """
-    rows = ((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator())
-    blocks = list(pattern_blocks(rows, window, limit))
+    blocks = benchmark_blocks(benchmark, window, limit)
     schema = "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
     def one(block):
@@ -172,6 +176,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     )
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that `decontaminate` does not call contaminated."""
+    blocks = benchmark_blocks(benchmark, window)
+
+    def make():
+        kept = [scanner(b) for b in blocks[:1]]
+
+        def test(texts):
+            words, hits = [0] * len(texts), [set() for _ in texts]
+            for k in range(len(blocks)):
+                scan = kept[0] if len(blocks) == 1 else scanner(blocks[k])
+                for i, t in enumerate(texts):
+                    words[i], _, _, hit = scan(t)
+                    hits[i].update(hit)
+            return [not h or share * len(h) < n for n, h in zip(words, hits, strict=True)]
+
+        return test
+
+    return filter_rows(docs, ["text"], make)
+
+
 def digests(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         "doc_id",

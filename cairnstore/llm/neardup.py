@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnstore.llm.bands import banded_components, labelled
-from cairnstore.llm.common import checkpointed, map_columns
+from cairnstore.llm.common import among, checkpointed, map_columns, without
 
 REGISTERS, ROWS, BANDS = 256, 7, 36
 MANTISSA = 10
@@ -111,18 +111,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     def make():
         def work(ids, texts):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for i, t in zip(ids, texts, strict=True):
                 s = shingle_set(t, words)
-                registers = sketch(s) if len(s) else None
                 for column, value in zip(
                     out,
                     (
                         i,
                         len(s),
                         hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None,
-                        None if registers is None else registers.tobytes(),
-                        None if registers is None else band_keys(registers),
+                        band_keys(sketch(s)) if len(s) else None,
                     ),
                     strict=True,
                 ):
@@ -131,7 +129,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
 
         return work
 
-    schema = "doc_id bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
     return map_columns(docs, ["doc_id", "text"], make, schema)
 
 
@@ -145,37 +143,51 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
         return work
 
-    rows = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    rows = among(docs.select("doc_id", "text"), "doc_id", ids.select(F.col("id").alias("doc_id")))
     return map_columns(rows, ["doc_id", "text"], make, "id bigint, registers binary, hashes binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (src, dst) of ``pairs`` whose sets are alike: the estimate first, then the full sets."""
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int, gate: bool) -> DataFrame:
+    """(src, dst, a, r, both) of ``pairs``; with ``gate`` without those that size or estimate show to be unlike."""
     one = sets.select(F.col("id").alias("src"), F.col("registers").alias("r1"), F.col("hashes").alias("h1"))
     two = sets.select(F.col("id").alias("dst"), F.col("registers").alias("r2"), F.col("hashes").alias("h2"))
 
     def make():
         def work(src, dst, r1, r2, h1, h2):
-            out: list[list] = [[], []]
-            for a, b, ra, rb, ha, hb in zip(src, dst, r1, r2, h1, h2, strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for i, j, ra, rb, ha, hb in zip(src, dst, r1, r2, h1, h2, strict=True):
                 if not ha or not hb:
                     continue
                 x, y = np.frombuffer(ha, "<u8"), np.frombuffer(hb, "<u8")
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                if gate and 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
-                if estimate(np.frombuffer(ra, "<u2"), np.frombuffer(rb, "<u2")) < percent / 100 - MARGIN:
+                if gate and estimate(np.frombuffer(ra, "<u2"), np.frombuffer(rb, "<u2")) < percent / 100 - MARGIN:
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out[0].append(a)
-                    out[1].append(b)
+                for column, value in zip(out, (i, j, len(x) - both, len(y) - both, both), strict=True):
+                    column.append(value)
             return out
 
         return work
 
     # The smaller id is the hub of many pairs: it is joined first, while rows are narrow.
     joined = pairs.join(two, "dst").join(one, "src")
-    return map_columns(joined, ["src", "dst", "r1", "r2", "h1", "h2"], make, "src bigint, dst bigint")
+    schema = "src bigint, dst bigint, a bigint, r bigint, both bigint"
+    return map_columns(joined, ["src", "dst", "r1", "r2", "h1", "h2"], make, schema)
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    """(id, gram), one row for each shingle of a set."""
+
+    def make():
+        def work(ids, hashes):
+            out = [np.frombuffer(h, "<i8") for h in hashes]
+            at = np.repeat(np.array(ids, dtype=np.int64), [len(h) for h in out])
+            return at, np.concatenate(out) if out else at
+
+        return work
+
+    return map_columns(sets, ["id", "hashes"], make, "id bigint, gram bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -184,13 +196,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = checkpointed(
         rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     )
-    banded = classes.select("id", "n", F.explode("bands").alias("band"))
+    banded = classes.select("id", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where(F.col("hub") != F.col("last"))
-    met = checkpointed(banded.join(hubs.select("band", "hub"), "band"))
+    hubs = checkpointed(hubs.select("band", "hub"))
+    met = checkpointed(among(banded, "band", hubs.select("band"), exact=False).join(hubs, "band").select("id", "band", "hub"))
     sets = checkpointed(_sets(docs, met.select("id").distinct(), words))
-    labels = banded_components(met, lambda pairs: _confirmed(pairs, sets, percent), percent)
+
+    def measure(pairs: DataFrame, gate: bool) -> DataFrame:
+        return _measured(pairs, sets, percent, gate)
+
+    labels = banded_components(met, measure, _members(sets), percent)
     named = labelled(classes.select("digest", "id"), labels, "id", "component_id").select("digest", "component_id")
     return (
         rows.select("doc_id", "n_shingles", "digest")
@@ -202,3 +219,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that are not the first document of their component."""
+    found = near_duplicates(docs, words, percent)
+    return without(docs, "doc_id", found.where(~F.col("kept")).select("doc_id"))

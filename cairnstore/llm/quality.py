@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from cairnstore.llm.common import held_out, map_columns, training_rows
+from cairnstore.llm.common import filter_rows, held_out, map_columns, training_rows
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -143,3 +143,15 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", bound:
     return map_columns(
         rows, ["doc_id", "text", "held_out"], make, "doc_id bigint, held_out boolean, score double, predicted int"
     )
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = TRAINING_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that `classify` predicts as label 1."""
+    logits, bias = train(training_rows(docs, labels, label, bound))
+    shared = docs.sparkSession.sparkContext.broadcast(logits)
+
+    def make():
+        weights = shared.value
+        return lambda texts: [score_text(t, weights, bias) >= 0.5 for t in texts]
+
+    return filter_rows(docs, ["text"], make)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnstore.llm import decontaminate, htmltext, linededup, neardup, quality, sentencepieces, topk, toxicity
+from cairnstore.llm import decontaminate, htmltext, licences, linededup, neardup, quality, sentencepieces, topk, toxicity
 
 
 TOPK_SQL = """
@@ -71,6 +71,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_decontaminate": op2_decontaminate,
@@ -81,6 +85,7 @@ def queries() -> dict:
         "op7_line_dedup": op7_line_dedup,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_html_text": op9_html_text,
+        "op10_licences": op10_licences,
     }
 
 
