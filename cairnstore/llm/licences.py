@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 CONFIRM = 0.6
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 NONE = "none"
+ROUNDS, PENALTY = 150, 2e-3
 
 # Customary notices of licence families.
 NOTICES = {
@@ -138,7 +139,7 @@ def _examples(rng: np.random.Generator, copies: int) -> list[tuple[str, str]]:
 def model():
     """(grams, classes, weights [gram, class], bias, least probability): fitted once a driver."""
     rng = np.random.default_rng(5)
-    fit, calibrate = _examples(rng, 8), _examples(rng, 3)
+    fit, calibrate = _examples(rng, 5), _examples(rng, 3)
     classes = [*NOTICES, NONE]
     grams = sorted({g for _, t in fit for g in grams_of(t)})
     at = {g: i for i, g in enumerate(grams)}
@@ -155,14 +156,14 @@ def model():
     share = (share / share.sum()).astype(np.float32)
     w, b = np.zeros((len(grams), len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32)
     target = np.eye(len(classes), dtype=np.float32)[y]
-    for _ in range(400):
+    for _ in range(ROUNDS):
         z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         back = (p - target) * share[:, None]
         w -= 1.5 * (x.T @ back)
         b -= 0.5 * back.sum(axis=0)
-        w = np.sign(w) * np.maximum(np.abs(w) - 1.5 * 4e-4, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - 1.5 * PENALTY, 0)
     cx, cy = matrix(calibrate)
     z = cx @ w + b
     p = np.exp(z - z.max(axis=1, keepdims=True))

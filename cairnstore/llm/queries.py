@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnstore.llm import decontaminate, htmltext, licences, linededup, neardup, quality, sentencepieces, topk, toxicity
+from cairnstore.llm import decontaminate, htmltext, licences, linededup, neardup, quality, sentencepieces, suffixdedup, topk, toxicity
 
 
 TOPK_SQL = """
@@ -29,6 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(suffixdedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontaminate.digests(decontaminate.decontaminate(docs, items))
@@ -77,6 +81,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_decontaminate": op2_decontaminate,
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
