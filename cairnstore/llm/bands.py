@@ -33,7 +33,8 @@ def banded_components(
 
     ``met`` (id, band, hub): the ids in each band, with the band's smallest id. ``grams`` (id, gram): their sets.
     ``measure(pairs, gate)`` gives (src, dst, a, r, both): the sizes of two sets without what they share, and what
-    they share; with ``gate`` it may leave out pairs that are not alike by ``percent``. In turn
+    they share; with ``gate`` it may leave out pairs that are not alike by ``percent``, without it adds ``bits``: four
+    longs with the bit (gram mod 256) set for each gram that only one of the two has. In turn
     1. each id meets the hub of the bands it shares most of;
     2. it meets its other hubs, unless the two are connected by now;
     3. in bands with ids that are still apart, every id meets the band's centre: the one with the least share of
@@ -83,15 +84,21 @@ def banded_components(
     spokes = checkpointed(measure(spokes, False))
     links = checkpointed(links.unionByName(alike(spokes)))
     labels = connected_components(links)
-    spokes = spokes.select(F.col("src").alias("id"), F.col("dst").alias("centre"), "a", "r")
+    spokes = spokes.select(F.col("src").alias("id"), F.col("dst").alias("centre"), "a", "r", "bits")
     here = checkpointed(here.join(spokes, ["id", "centre"]))  # without the centre, which has been met
-    off = checkpointed(apart(here, "id", "centre").select("band", "id", "n", "u", "a", "r", "c1"))
+    off = checkpointed(apart(here, "id", "centre").select("band", "id", "n", "u", "a", "r", "bits", "c1"))
     if off.isEmpty():
         return labels
     every = labelled(here.join(off.select("band").distinct(), "band", "left_semi"), labels, "id", "c2")
-    every = every.select("band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "u", "a", "r")], "c2")
-    shared_most = F.least(F.col("a") - F.col("u"), F.col("a2") - F.col("u2")) + F.least("r", "r2")
-    differ = F.col("a") + F.col("r") + F.col("a2") + F.col("r2") - 2 * shared_most
+    every = every.select("band", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "u", "a", "r", "bits")], "c2")
+    common, one, two = F.lit(0), F.lit(0), F.lit(0)
+    for k in range(4):
+        x, y = F.get("bits", F.lit(k)), F.get("bits2", F.lit(k))
+        common, one, two = common + F.bit_count(x.bitwiseAND(y)), one + F.bit_count(x), two + F.bit_count(y)
+    d, d2 = F.col("a") + F.col("r"), F.col("a2") + F.col("r2")
+    by_bits = common + F.least(d - one, d2 - two)
+    by_size = F.least(F.col("a") - F.col("u"), F.col("a2") - F.col("u2")) + F.least("r", "r2")
+    differ = d + d2 - 2 * F.least(by_bits, by_size)
     possible = (100 - percent) * (F.col("n") + F.col("n2")) >= (100 + percent) * differ
     cross = off.join(every, "band").where((F.col("c1") != F.col("c2")) & possible)
     further(cross.select(F.col("id").alias("src"), F.col("id2").alias("dst")))

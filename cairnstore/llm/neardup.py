@@ -147,14 +147,21 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return map_columns(rows, ["doc_id", "text"], make, "id bigint, registers binary, hashes binary")
 
 
+def _bits(grams: np.ndarray) -> list[int]:
+    """Four longs with the bit (gram mod 256) set for each gram."""
+    flags = np.zeros(256, dtype=np.uint8)
+    flags[grams & np.uint64(255)] = 1
+    return np.packbits(flags, bitorder="little").view("<i8").tolist()
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int, gate: bool) -> DataFrame:
-    """(src, dst, a, r, both) of ``pairs``; with ``gate`` without those that size or estimate show to be unlike."""
+    """(src, dst, a, r, both, bits) of ``pairs``; with ``gate`` without those that size or estimate show to be unlike."""
     one = sets.select(F.col("id").alias("src"), F.col("registers").alias("r1"), F.col("hashes").alias("h1"))
     two = sets.select(F.col("id").alias("dst"), F.col("registers").alias("r2"), F.col("hashes").alias("h2"))
 
     def make():
         def work(src, dst, r1, r2, h1, h2):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for i, j, ra, rb, ha, hb in zip(src, dst, r1, r2, h1, h2, strict=True):
                 if not ha or not hb:
                     continue
@@ -164,7 +171,8 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int, gate: bool) -> Da
                 if gate and estimate(np.frombuffer(ra, "<u2"), np.frombuffer(rb, "<u2")) < percent / 100 - MARGIN:
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                for column, value in zip(out, (i, j, len(x) - both, len(y) - both, both), strict=True):
+                bits = None if gate else _bits(np.setxor1d(x, y, assume_unique=True))
+                for column, value in zip(out, (i, j, len(x) - both, len(y) - both, both, bits), strict=True):
                     column.append(value)
             return out
 
@@ -172,7 +180,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int, gate: bool) -> Da
 
     # The smaller id is the hub of many pairs: it is joined first, while rows are narrow.
     joined = pairs.join(two, "dst").join(one, "src")
-    schema = "src bigint, dst bigint, a bigint, r bigint, both bigint"
+    schema = "src bigint, dst bigint, a bigint, r bigint, both bigint, bits array<bigint>"
     return map_columns(joined, ["src", "dst", "r1", "r2", "h1", "h2"], make, schema)
 
 
