@@ -32,7 +32,7 @@ from cairnstore.llm.common import BUCKETS, checkpointed, map_columns
 LEAST = 200
 ANCHOR = 64
 BLOCK_BYTES = 1_000_000
-CROWD = 400
+CROWD = 4_000
 BITS = 1 << 27
 #: Bytes of one text handled at a time.
 STRIDE = 1 << 20
@@ -78,12 +78,16 @@ def owners(raw: np.ndarray, least: int = LEAST):
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _contexts(text: str | None, least: int):
-    """(anchors, context hashes, first windows, last windows, bytes) of a text."""
+def _contexts(text: str | None, least: int, hit: np.ndarray | None = None):
+    """(anchors, context hashes, first windows, last windows, bytes) of a text, of anchors in a bitmap if one is given."""
     import xxhash
 
     raw = (text or "").encode("utf-8", "surrogatepass")
-    anchor, place, first, last = owners(np.frombuffer(raw, dtype=np.uint8), least)
+    found = owners(np.frombuffer(raw, dtype=np.uint8), least)
+    if hit is not None:
+        picked = np.flatnonzero(_hit(hit, found[0]))
+        found = tuple(x[picked] for x in found)
+    anchor, place, first, last = found
     digest = xxhash.xxh3_64_intdigest
     hashes = np.fromiter(
         (digest(raw[s : e + least], seed=p - s) for p, s, e in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)),
@@ -101,12 +105,12 @@ def suffix_array(symbols: np.ndarray, longest: int) -> np.ndarray:
     n = len(symbols)
     _, rank = np.unique(symbols, return_inverse=True)
     rank = rank.astype(np.int64)
-    span, order = 1, np.argsort(rank, kind="stable")
+    span, order = 1, np.argsort(rank)
     while span < longest:
         follow = np.zeros(n, dtype=np.int64)
         follow[:-span] = rank[span:] + 1
         key = rank * (n + 1) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
         span *= 2
         if rank[order[-1]] == n - 1:
@@ -130,7 +134,7 @@ def repeated_starts(pieces: list[bytes], least: int = LEAST) -> np.ndarray:
     order = suffix_array(symbols, int(sizes.max()) + 1)
     before = symbols[order - 1]  # the transform; the first suffix is preceded by the last separator
     # Where the suffix with the preceding symbol in front stands in the order.
-    by_symbol = np.argsort(before, kind="stable")
+    by_symbol = np.argsort(before * n + np.arange(n))
     front = np.empty(n, dtype=np.int64)
     front[by_symbol] = np.arange(n)
 
@@ -148,9 +152,7 @@ def repeated_starts(pieces: list[bytes], least: int = LEAST) -> np.ndarray:
         j = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + low[which]
         symbol = before[j]
         real = symbol >= len(pieces)
-        j, key = j[real], which[real] * (256 + len(pieces)) + symbol[real]
-        by_key = np.argsort(key, kind="stable")
-        j, key = j[by_key], key[by_key]
+        key, j = np.divmod(np.sort((which[real] * (256 + len(pieces)) + symbol[real]) * n + j[real]), n)
         head = np.flatnonzero(np.diff(key, prepend=-1))
         count = np.diff(np.append(head, len(key)))
         new_low = front[j[head]]
@@ -199,9 +201,8 @@ def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
             def work(rows, texts):
                 out = [[] for _ in range(schema.count(",") + 1)]
                 for row, t in zip(rows, texts, strict=True):
-                    found = _contexts(t, least)
-                    picked = None if keep is None else np.flatnonzero(_hit(keep.value, found[0]))
-                    for column, value in zip(out, more(row, found, picked), strict=True):
+                    found = _contexts(t, least, None if keep is None else keep.value)
+                    for column, value in zip(out, more(row, found), strict=True):
                         column.append(value)
                 return [
                     [x for part in column for x in part] if isinstance(column[0], list) else np.concatenate(column)
@@ -213,20 +214,21 @@ def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
         rows = docs.where(F.octet_length("text") >= least).select(F.xxhash64("text").alias("row"), "text")
         return map_columns(rows, ["row", "text"], make, schema)
 
-    counted = emit(None, "a bigint, c bigint", lambda row, f, p: (f[0], f[1]))
+    counted = emit(None, "a bigint, c bigint", lambda row, f: (f[0], f[1]))
     anchors = counted.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"))
     anchors = checkpointed(anchors.where(F.col("n") > 1).select("a", (F.col("c1") != F.col("c2")).alias("mixed")))
     seen = context.broadcast(_bitmap(anchors))
     mixed = context.broadcast(_bitmap(anchors.where("mixed")))
 
-    def placed(row, f, p):
-        return f[0][p], f[1][p], np.full(len(p), row, dtype=np.int64), np.full(len(p), len(f[4]), dtype=np.int64), f[2][p], f[3][p]
+    def placed(row, f):
+        n = len(f[0])
+        return f[0], f[1], np.full(n, row, dtype=np.int64), np.full(n, len(f[4]), dtype=np.int64), f[2], f[3]
 
     places = emit(seen, "a bigint, c bigint, row bigint, n_bytes bigint, first bigint, last bigint", placed)
     places = checkpointed(places.groupBy("a", "c", "row", "n_bytes", "first", "last").agg(F.lit(1).alias("one")).drop("one").join(anchors, "a"))
 
-    def bodies(row, f, p):
-        return f[0][p], f[1][p], [f[4][f[2][i] : f[3][i] + least] for i in p]
+    def bodies(row, f):
+        return f[0], f[1], [f[4][s : e + least] for s, e in zip(f[2].tolist(), f[3].tolist(), strict=True)]
 
     contexts = emit(mixed, "a bigint, c bigint, body binary", bodies)
     contexts = contexts.groupBy("a", "c").agg(F.count("*").alias("n"), F.first("body").alias("body"))
