@@ -30,6 +30,8 @@ def check_chunkable(processor) -> None:
     for i in range(processor.get_piece_size()):
         if MARK in processor.id_to_piece(i).lstrip(MARK):
             raise ValueError(f"piece {i} crosses a whitespace marker")
+    if processor.piece_to_id(MARK) == processor.unk_id():
+        raise ValueError("the whitespace marker is no piece")
     probe = "  ①ﬁ  é 　x "
     if processor.decode(processor.encode(probe)) != probe:
         raise ValueError("the model normalises texts")
@@ -43,7 +45,8 @@ def table_encoder(processor):
 
     def segment(chunk: str) -> list[int]:
         # The library puts one marker in front of any text, so a chunk goes in without its first one.
-        ids = processor.encode(chunk[1:])
+        # A marker alone, which only ends a text, would leave nothing to encode: it is its own piece.
+        ids = processor.encode(chunk[1:]) if len(chunk) > 1 else [processor.piece_to_id(MARK)]
         if len(chunk) <= LONGEST_REMEMBERED:
             if len(table) >= TABLE_ROWS:
                 table.clear()
@@ -54,7 +57,6 @@ def table_encoder(processor):
         ids = [begin]
         if text:
             for chunk in chunks(MARK + text.replace(" ", MARK)):
-                # The chunk of the front marker alone, before a text that starts with a space, joins its run.
                 known = table.get(chunk)
                 ids.extend(segment(chunk) if known is None else known)
         ids.append(end)
