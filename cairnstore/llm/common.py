@@ -82,8 +82,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The rows whose ``column`` (a long) is not in ``keys``; only rows in a key's hash bucket are shuffled."""
     keys = checkpointed(keys.distinct())
-    own = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int") == F.col("bucket")
-    wanted = F.broadcast(keys.select(F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct())
+    own = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int") == F.col("__bucket")
+    wanted = F.broadcast(keys.select(F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int").alias("__bucket")).distinct())
     near, rest = rows.join(wanted, own, "left_semi"), rows.join(wanted, own, "left_anti")
     return near.join(keys, column, "left_anti").unionByName(rest)
 
@@ -121,6 +121,6 @@ def among(rows: DataFrame, column: str, keys: DataFrame, exact: bool = True) ->
     shuffle of the exact step and drops none that is needed; with very many keys it merely spares less.
     """
     bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
-    wanted = keys.select(bucket.alias("bucket")).distinct()
-    near = rows.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+    wanted = keys.select(bucket.alias("__bucket")).distinct()
+    near = rows.withColumn("__bucket", bucket).join(F.broadcast(wanted), "__bucket", "left_semi").drop("__bucket")
     return near.join(keys, column, "left_semi") if exact else near
