@@ -137,6 +137,40 @@ def test_equal_lines_of_the_tables(spark):
     assert sum(len(t) for t in out.values()) > 0.7 * sum(len("\n".join(x)) for x in before.values())
 
 
+def brute_lines(rows, percent=80):
+    """(doc_id, line_no) of the lines that go, from 5-character grams at every offset; lines of 5 characters or more."""
+    lines = [(i, n, x) for i, t in sorted(rows) for n, x in enumerate(t.split("\n"))]
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for _, _, x in lines]
+    links = [
+        (a, b)
+        for b in range(len(sets))
+        for a in range(b)
+        if 100 * (both := len(sets[a] & sets[b])) >= percent * (len(sets[a]) + len(sets[b]) - both)
+    ]
+    found = components(range(len(lines)), links)
+    return {lines[k][:2] for k in found if found[k] != k}
+
+
+def gone_lines(spark, rows):
+    got = linededup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {(r["doc_id"], r["line_no"]) for r in got}
+
+
+def test_lines_with_one_altered_character(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(240):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range((8, 12, 16, 20)[k % 4])]
+        altered = list(words)
+        at = rng.randrange(len(words))
+        altered[at] = "#" + altered[at][1:]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(altered))]
+    want = brute_lines(rows)
+    assert len(want) > 200
+    got = gone_lines(spark, rows)
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 # ---- suffixes
 
 
