@@ -171,6 +171,22 @@ def test_lines_with_one_altered_character(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_unbroken_lines(spark):
+    """One character put in at any place of a long word; short lines with a few more characters; rulers."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):
+        word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200))
+        at = (0, 100, 180)[k % 3]
+        rows += [(2 * k, word), (2 * k + 1, f"{word[:at]}#{word[at:]}")]
+    for k in range(30, 60):
+        word = "".join(rng.choices("日本語のテキスト書類行文字長短前後", k=rng.randint(20, 70)))
+        rows += [(2 * k, word), (2 * k + 1, word + "終わり")]
+    rows += [(200, "=" * 9), (201, "=" * 70), (202, "=" * 900)]
+    want = brute_lines(rows)
+    assert len(want) == 62 and gone_lines(spark, rows) == want
+
+
 # ---- suffixes
 
 
