@@ -4,12 +4,17 @@ A sparse multinomial logistic regression over the presence of word n-grams (1 to
 and ordinary text apart. It is fitted on the driver from the fixed notices below and from perturbed copies of them
 (words dropped, cut short, set in other words), with an L1 penalty, so its vocabulary is a few hundred n-grams.
 The least probability at which a family is named is calibrated on perturbed copies that were held out: it is the
-one that parts right from wrong family names best. A paragraph (a line) that is a licence rather than ordinary
-text, but reaches no family's calibrated probability, or that no notice of the family confirms, is `unknown`.
+one that parts right from wrong family names best. A paragraph (a line, or a window of at most `WINDOW` lines in a
+row that all have words, as notices are wrapped) that is a licence rather than ordinary text, but reaches no family's calibrated probability, or that no notice of the family confirms, is `unknown`.
 Confirmation: the share of a notice's 2-word grams that stand in the paragraph, `CONFIRM` at least.
 
+Of windows and lines of a document that overlap, those that are named go before the unknown, then the one that ends
+first stays, the shortest of these: so a line that is named by itself always stays. A window's number is that of its
+first line.
+
 Scoring explodes the words of every whole text, keeps those that open a gram of the vocabulary (a bounded set),
-looks the grams up and gathers each paragraph's distinct grams: the vocabulary bounds a group's size.
+looks the grams up and gathers each line's distinct grams, those that reach into a next line apart: the vocabulary
+bounds a group's size. Windows put the grams of their lines together.
 
 Defined results: null and blank texts have no paragraphs; rows of one doc_id and one text are one; ids may be null.
 """
@@ -20,10 +25,11 @@ import re
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CONFIRM = 0.6
+WINDOW = 6
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 NONE = "none"
 ROUNDS, PENALTY = 150, 2e-3
@@ -179,6 +185,79 @@ def model():
     return used, classes, w[[at[g] for g in used]].astype(np.float64), b.astype(np.float64), least
 
 
+def _words(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, paragraph, ahead, i, n, alone, a, b, c): each word of a line with the two that follow it.
+
+    ``i`` is its place among the ``n`` words of its line; ``alone``: the next line has one word. ``ahead`` is the
+    number of next lines, `WINDOW` - 1 at most, before one without words.
+    """
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), lines.alias("lines"))
+    texts = texts.withColumn("filled", F.transform("lines", lambda x: F.size(x) > 0))
+    none = F.array().cast("array<string>")
+
+    def line(words, i):
+        one, two = (F.coalesce(F.get("lines", i + k), none) for k in (1, 2))
+        tail = F.when(F.size(one) == 1, F.concat(one, F.slice(two, 1, 1))).otherwise(F.slice(one, 1, 2))
+        after = F.slice("filled", i + 2, WINDOW - 1)
+        gap = F.array_position(after, F.lit(False)).cast("int")
+        ahead = F.when(gap > 0, gap - 1).otherwise(F.size(after))
+        return F.struct(F.concat(words, tail).alias("w"), F.size(words).alias("n"), (F.size(one) == 1).alias("alone"), ahead.alias("ahead"))
+
+    each = texts.select("doc_id", "row", F.posexplode(F.transform("lines", line)).alias("paragraph", "line"))
+    each = each.select("doc_id", "row", "paragraph", "line.*").where(F.col("n") > 0)
+    size = F.size("w")
+    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), size).alias("b"), F.slice("w", F.lit(3), size).alias("c"))
+    found = each.select("doc_id", "row", "paragraph", "ahead", "n", "alone", F.posexplode(zipped).alias("i", "z"))
+    return found.where(F.col("i") < F.col("n")).select("doc_id", "row", "paragraph", "ahead", "i", "n", "alone", "z.*")
+
+
+def _units(lines: DataFrame) -> DataFrame:
+    """(doc_id, row, paragraph, last, hits) of every line and window; those that add nothing to a shorter one are left out."""
+    order = Window.partitionBy("doc_id", "row").orderBy("paragraph").rangeBetween(0, WINDOW - 1)
+    near = F.collect_list(F.struct("paragraph", "hits0", "hits1", "hits2")).over(order)
+
+    def unit(k):
+        last = F.col("paragraph") + k
+
+        def inside(x):
+            later = [F.when(x["paragraph"] + r <= last, x[f"hits{r}"]).otherwise(F.slice(x["hits0"], 1, 0)) for r in (1, 2)]
+            return F.concat(x["hits0"], *later)
+
+        hits = F.flatten(F.transform(F.filter("near", lambda x: x["paragraph"] <= last), inside))
+        return F.struct(last.alias("last"), F.array_distinct(hits).alias("hits"))
+
+    every = lines.withColumn("near", near)
+    every = every.select("doc_id", "row", "paragraph", F.transform(F.sequence(F.lit(0), F.col("ahead")), unit).alias("units"))
+
+    def adds(u, i):
+        return (F.size(u["hits"]) > 0) & ((i == 0) | (F.size(u["hits"]) > F.size(F.get("units", i - 1)["hits"])))
+
+    return every.select("doc_id", "row", "paragraph", F.inline(F.filter("units", adds)))
+
+
+def _apart(scored: DataFrame) -> DataFrame:
+    """One of the lines and windows that overlap; ``scored`` has doc_id, row, paragraph, last and what is kept with them."""
+    kept = [c for c in scored.columns if c not in ("doc_id", "row", "paragraph", "last")]
+    unit = F.struct("last", (-F.col("paragraph")).alias("minus"), "paragraph", *kept)
+    groups = scored.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(unit)).alias("units"))
+
+    def chosen(units):
+        def add(out, x):
+            free = (F.size(out) == 0) | (F.get(out, F.size(out) - 1)["last"] < x["paragraph"])
+            return F.when(free, F.concat(out, F.array(x))).otherwise(out)
+
+        return F.aggregate(units, F.filter(units, lambda x: F.lit(False)), add)
+
+    groups = groups.withColumn("named", chosen(F.filter("units", lambda x: x["family"] != "unknown")))
+
+    def free(x):
+        return ~F.exists("named", lambda y: (x["paragraph"] <= y["last"]) & (y["paragraph"] <= x["last"]))
+
+    unknown = chosen(F.filter("units", lambda x: (x["family"] == "unknown") & free(x)))
+    return groups.select("doc_id", F.explode(F.concat("named", unknown)).alias("unit")).select("doc_id", "unit.*")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity) of every paragraph that is a licence notice."""
     grams, classes, weights, bias, least = model()
@@ -187,14 +266,17 @@ def scan(docs: DataFrame) -> DataFrame:
     vocabulary = F.broadcast(spark.createDataFrame(list(number.items()), "gram string, number int"))
     opens = sorted({g.split(" ")[0] for g in grams})
 
-    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    words = lines.select("doc_id", "row", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("w"))
-    n = F.size("w")
-    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), n).alias("b"), F.slice("w", F.lit(3), n).alias("c"))
-    each = words.where(n > 0).select("doc_id", "row", "paragraph", F.inline(zipped).alias("a", "b", "c")).where(F.col("a").isin(opens))
-    runs = F.array_compact(F.array(F.col("a"), F.concat_ws(" ", "a", "b"), F.when(F.col("c").isNotNull(), F.concat_ws(" ", "a", "b", "c"))))
-    found = each.select("doc_id", "row", "paragraph", F.explode(runs).alias("gram")).join(vocabulary, "gram")
-    hits = found.groupBy("doc_id", "row", "paragraph").agg(F.collect_set("number").alias("hits"))
+    def reach(j):
+        """How many lines below its first one a gram ends that ends in word j."""
+        return F.when(j < F.col("n"), 0).when((j == F.col("n")) | ~F.col("alone"), 1).otherwise(2)
+
+    i = F.col("i")
+    runs = [(F.col("a"), F.lit(0)), (F.concat_ws(" ", "a", "b"), reach(i + 1)), (F.concat_ws(" ", "a", "b", "c"), reach(i + 2))]
+    runs = [F.when(F.col(c).isNotNull(), F.struct(gram.alias("gram"), at.alias("reach"))) for c, (gram, at) in zip("abc", runs, strict=True)]
+    each = _words(docs).where(F.col("a").isin(opens))
+    found = each.select("doc_id", "row", "paragraph", "ahead", F.inline(F.array_compact(F.array(*runs)))).join(vocabulary, "gram")
+    sets = [F.collect_set(F.when(F.col("reach") == r, F.col("number"))).alias(f"hits{r}") for r in range(3)]
+    hits = _units(found.groupBy("doc_id", "row", "paragraph").agg(F.max("ahead").alias("ahead"), *sets))
 
     def logit(c: int):
         column = F.array(*[F.lit(float(x)) for x in weights[:, c]])
@@ -221,10 +303,11 @@ def scan(docs: DataFrame) -> DataFrame:
         match = F.when(F.col("likeliest") == family, similarity(family)).otherwise(match)
     scored = scored.withColumn("similarity", match)
     sure = (F.col("probability") >= least) & (F.col("similarity") >= CONFIRM)
-    return scored.select(
+    family = F.when(sure, F.col("likeliest")).otherwise("unknown").alias("family")
+    return _apart(scored.select("doc_id", "row", "paragraph", "last", family, "probability", "similarity")).select(
         "doc_id",
         F.col("paragraph").cast("bigint").alias("paragraph"),
-        F.when(sure, F.col("likeliest")).otherwise("unknown").alias("family"),
+        "family",
         F.round("probability", 6).alias("probability"),
         F.round("similarity", 6).alias("similarity"),
     )

@@ -207,6 +207,15 @@ def test_licences(spark):
     assert licences.scan(odd_docs(spark)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    texts = [gpl, bsd, f"Some words.\n\n{gpl}\n\nReleased under the MIT License.", gpl.replace("\n", "\n\n"), "The river is under\nthe hill in\nthe north."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(docs).collect() if r["family"] != "unknown"}
+    assert got == {(0, 0, "GPL"), (1, 0, "BSD"), (2, 2, "GPL"), (2, 7, "MIT")}
+
+
 def test_licence_lines_of_the_tables(spark):
     known = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Released under the MIT License.": "MIT"}
     data = DATA.replace("0.001", "0.01")
