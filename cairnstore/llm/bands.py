@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnstore.llm.common import among, checkpointed
@@ -103,3 +103,63 @@ def banded_components(
     cross = off.join(every, "band").where((F.col("c1") != F.col("c2")) & possible)
     further(cross.select(F.col("id").alias("src"), F.col("id2").alias("dst")))
     return labels
+
+
+def sized_bands(banded: DataFrame) -> DataFrame:
+    """(id, band, m): the rows of ``banded`` (id, band; without repeats) whose band holds m ids, two or more.
+
+    Bands of two are known by their smallest and largest id; only rows of larger ones are read a second time.
+    """
+    sizes = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high"))
+    sizes = checkpointed(sizes.where(F.col("m") > 1))
+    two = sizes.where(F.col("m") == 2).select(F.explode(F.array("low", "high")).alias("id"), "band", "m")
+    large = sizes.where(F.col("m") > 2).select("band", "m")
+    more = among(banded, "band", large, exact=False).join(large, "band").select("id", "band", "m")
+    return checkpointed(two.unionByName(more))
+
+
+def _hubs(met: DataFrame) -> DataFrame:
+    """``met`` (id, band, m) with the hub of each band: its most typical member.
+
+    That is the one whose bands hold most ids, taken over all its bands.
+    """
+    own = Window.partitionBy("id")  # an id has as many rows as it has features
+    ranked = checkpointed(met.withColumn("score", F.sum(F.log2("m")).over(own)))
+    typical = F.max(F.struct("score", (-F.col("id")).alias("minus"), "id")).alias("top")
+    hubs = ranked.groupBy("band").agg(typical).select("band", F.col("top.id").alias("hub"))
+    return checkpointed(ranked.drop("score").join(hubs, "band"))
+
+
+def feature_components(
+    met: DataFrame, confirm: Callable[[DataFrame], DataFrame], every_feature: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """(id, component) of the linked ids, from ``met`` as `sized_bands` gives it.
+
+    ``confirm(pairs)`` gives the links among (src, dst); ``every_feature(ids)`` gives the like of ``met`` for all
+    features of these ids. In turn
+    1. every id meets the most typical member of each of its bands (`_hubs`);
+    2. bands of three ids or more with members that are still apart are split: ids with three such bands or more are
+       banded anew by all features they have, not just by the drawn ones, and meet the most typical members of these
+       smaller bands, where they share two bands or more with one.
+    Two ids that are alike but are not like the most typical member of a band share what that member lacks, so they
+    meet again under the features of this, where the typical member is one of their own kind. Each id meets at most
+    one other for each feature it has, so the pairs grow in proportion to the texts however large a band is.
+    """
+    here = _hubs(met)
+    spokes = checkpointed(here.where(F.col("id") != F.col("hub")).select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct())
+    links = checkpointed(confirm(spokes))
+    labels = connected_components(links)
+
+    def apart(rows: DataFrame, a: str, b: str) -> DataFrame:
+        both = labelled(labelled(rows, labels, a, "c1"), labels, b, "c2")
+        return both.where(F.col("c1") != F.col("c2")).drop("c1", "c2")
+
+    split = checkpointed(apart(here.where(F.col("m") > 2), "id", "hub").select("band").distinct())
+    if split.isEmpty():
+        return labels
+    often = here.join(split, "band", "left_semi").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 2)
+    again = _hubs(every_feature(checkpointed(often.select("id"))))
+    pairs = again.where(F.col("id") != F.col("hub")).groupBy(F.col("id").alias("src"), F.col("hub").alias("dst")).agg(F.count("*").alias("n"))
+    more = apart(pairs.where(F.col("n") > 1).drop("n").join(spokes, ["src", "dst"], "left_anti"), "src", "dst")
+    links = checkpointed(links.unionByName(confirm(checkpointed(more))))
+    return connected_components(links)
