@@ -12,9 +12,9 @@ GEAR = np.random.default_rng(20).integers(0, 1 << 63, size=256, dtype=np.uint64)
 LEAST, MOST, BITS = 8 << 10, 256 << 10, 16
 
 
-def candidates(data: bytes, bits: int = BITS) -> np.ndarray:
+def candidates(data: bytes, bits: int = BITS, table: np.ndarray = GEAR) -> np.ndarray:
     """Ends of bytes after which the hash has ``bits`` low zero bits; needs ``bits`` bytes before."""
-    g = GEAR[np.frombuffer(data, dtype=np.uint8)]
+    g = table[np.frombuffer(data, dtype=np.uint8)]
     if len(g) < bits:
         return np.zeros(0, dtype=np.int64)
     total = np.zeros(len(g) - bits + 1, dtype=np.uint64)

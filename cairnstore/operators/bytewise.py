@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cairnstore.functions.chunking import candidates
 
-def byte_values(content: Column) -> Column:
-    """The bytes of a binary column as an array of integers."""
-    pairs = F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1))
-    return F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int"))
+
+def _each_content(rows: DataFrame, key: str, content: str, fields: str, work) -> DataFrame:
+    """``work(bytes)`` gives tuples of ``fields`` for each row's content; null content counts as empty."""
+    kind = rows.schema[key].dataType.simpleString()
+    schema = T._parse_datatype_string(f"`{key}` {kind}, {fields}")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for b in batches:
+            out = [(k, *found) for k, c in zip(*(x.to_pylist() for x in b.columns), strict=True) for found in work(c or b"")]
+            columns = list(zip(*out, strict=True)) if out else [()] * len(target)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return rows.select(key, content).mapInArrow(run, schema)
 
 
 def byte_entropy(rows: DataFrame, key: str, content: str) -> DataFrame:
-    """Shannon entropy in bits a byte; 0 for empty content. Counts combine before the shuffle."""
-    each = rows.select(key, F.explode_outer(byte_values(F.col(content))).alias("b"))
-    counts = each.groupBy(key, "b").agg(F.count("b").alias("c"))
-    n, weighted = F.sum("c"), F.sum(F.when(F.col("c") > 0, F.col("c") * F.log2("c")).otherwise(0.0))
-    out = counts.groupBy(key).agg(n.alias("n"), weighted.alias("w"))
-    return out.select(key, F.when(F.col("n") > 0, F.greatest(F.log2("n") - F.col("w") / F.col("n"), F.lit(0.0))).otherwise(0.0).alias("entropy"))
+    """Shannon entropy in bits a byte; 0 for empty content. One row in, one row out: nothing is shuffled."""
+
+    def work(data: bytes):
+        n = len(data)
+        c = np.bincount(np.frombuffer(data, dtype=np.uint8)) if n else np.zeros(0)
+        c = c[c > 0]
+        return [(max(float(np.log2(n) - (c * np.log2(c)).sum() / n), 0.0) if n else 0.0,)]
+
+    return _each_content(rows, key, content, "entropy double", work)
 
 
 def delta_encode(rows: DataFrame, partition: list[str], order: str, value: str, distance: int) -> DataFrame:
@@ -55,9 +74,10 @@ def rct_inverse(rows: DataFrame, d0: str, d1: str, d2: str) -> DataFrame:
     return rows.withColumn("c0", F.pmod(F.col(d1) + F.col(d0), F.lit(256))).withColumn("c1", F.col(d0)).withColumn("c2", F.pmod(F.col(d2) + F.col(d0), F.lit(256)))
 
 
-def gear(byte: Column) -> Column:
-    """A fixed mixing of a byte to 16 bits, of either parity."""
-    return F.pmod(byte * byte * 40503 + byte * 30011 + 12345 + F.floor(byte / 7) * 9973, F.lit(65536))
+def gear() -> np.ndarray:
+    """A fixed mixing of each byte to 16 bits, of either parity."""
+    b = np.arange(256, dtype=np.int64)
+    return (b * b * 40503 + b * 30011 + 12345 + b // 7 * 9973) % 65536
 
 
 def cut_candidates(rows: DataFrame, key: str, content: str, bits: int) -> DataFrame:
@@ -65,13 +85,11 @@ def cut_candidates(rows: DataFrame, key: str, content: str, bits: int) -> DataFr
 
     A byte leaves the low ``bits`` of the hash after as many shifts, so a candidate depends on that many bytes only.
     """
-    each = rows.select(key, F.posexplode(byte_values(F.col(content))).alias("at", "b")).withColumn("g", gear(F.col("b").cast("long")))
-    w = Window.partitionBy(key).orderBy("at")
-    total = F.col("g")
-    for k in range(1, bits):
-        total = total + F.coalesce(F.lag("g", k).over(w), F.lit(0)) * (1 << k)
-    hashed = each.withColumn("h", F.pmod(total, F.lit(1 << bits)))
-    return hashed.where((F.col("h") == 0) & (F.col("at") >= bits - 1)).select(key, F.col("at").cast("long").alias("at"))
+
+    def work(data: bytes):
+        return [(at - 1,) for at in candidates(data, bits, gear().astype(np.uint64)).tolist()]
+
+    return _each_content(rows, key, content, "at bigint", work)
 
 
 def strided_sample(content: Column, size: Column, most: int) -> Column:

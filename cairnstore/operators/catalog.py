@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnstore.functions import scalars as S
+from cairnstore.lineage import checkpointed
+
+#: Asks that are tested as literals.
+FEW_ASKS = 200
 
 # ---- entries from tables
 
@@ -70,10 +74,13 @@ def hard_links(rows: DataFrame, identity: list[str], order: str, name: str) -> D
 def select_asked(entries: DataFrame, asks: DataFrame) -> DataFrame:
     """Entries that some ask matches, each once.
 
-    Asks are a command line's arguments. Three equality joins (name, base name, each ancestor directory) replace a
-    nested loop, so any number of them scales.
+    Up to `FEW_ASKS` asks, as on a command line, are tested inside the scan. More are matched by equality joins on the
+    name, the base name and each directory above, so any number of them scales.
     """
     ask = asks.select(S.normalise_ask(F.col("ask")).alias("ask")).distinct()
+    if ask.limit(FEW_ASKS + 1).count() <= FEW_ASKS:
+        few = F.array(*[F.lit(r["ask"]) for r in ask.collect()]).cast("array<string>")
+        return entries.where(F.arrays_overlap(ask_keys(F.col("name")), few))
     keyed = entries.select("name", F.explode(ask_keys(F.col("name"))).alias("ask"))
     names = keyed.join(ask, "ask", "left_semi").select("name").distinct()
     return entries.join(names, "name", "left_semi")
@@ -126,20 +133,50 @@ def archive_profile(chunks: DataFrame) -> DataFrame:
 # ---- layout
 
 
+def _sorted_once(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` sorted by range with `_part` and `_mono` (the place in the sort), computed once.
+
+    What is numbered and what is counted must come from one and the same run of the sort: another run may cut the
+    ranges elsewhere.
+    """
+    placed = rows.orderBy(*order).withColumn("_mono", F.monotonically_increasing_id())
+    return checkpointed(placed).withColumn("_part", F.shiftright("_mono", 33).cast("int"))
+
+
+def running_totals(rows: DataFrame, partition: list[str], order: str, value: str, column: str) -> DataFrame:
+    """Running sum of ``value`` up to and with each row, in the order of ``order`` inside each partition key.
+
+    Rows are sorted by range over (key, order), so a hot key is spread over many tasks; sums inside a task are added
+    to the totals of the tasks before it, a number for each task and key. Null values count as 0.
+    """
+    placed = _sorted_once(rows, [*partition, order])
+    inside = Window.partitionBy("_part", *partition).orderBy("_mono").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = placed.groupBy("_part", *partition).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    earlier = Window.partitionBy(*partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    before = before.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(partition)], "_before")
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(partition):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    own = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    out = placed.withColumn("_own", own).join(before, same)
+    return out.withColumn(column, F.col("_own") + F.col("_before")).select(*rows.columns, column)
+
+
 def region_offsets(chunks: DataFrame, partition: list[str], order: str) -> DataFrame:
     """Exclusive running sum of bytes inside each region."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("region_offset", F.coalesce(F.sum("n_bytes").over(w), F.lit(0)))
+    ran = running_totals(chunks, partition, order, "n_bytes", "region_offset")
+    return ran.withColumn("region_offset", F.col("region_offset") - F.coalesce("n_bytes", F.lit(0)))
 
 
 def dense_ids(rows: DataFrame, order: list[str], column: str) -> DataFrame:
     """Numbers 0.. in the order of ``order`` without a global window.
 
-    Rows are sorted by range; each partition's count is summed up on the driver (a number for each partition) and
-    added to positions inside the partition.
+    Rows are sorted by range once; each partition's count is summed up on the driver (a number for each partition)
+    and added to positions inside the partition.
     """
     spark = rows.sparkSession
-    placed = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    placed = _sorted_once(rows, order)
     counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for part in sorted(counts):
@@ -147,9 +184,9 @@ def dense_ids(rows: DataFrame, order: list[str], column: str) -> DataFrame:
         total += counts[part]
     if not before:
         return rows.withColumn(column, F.lit(0).cast("long"))
-    starts = spark.createDataFrame(before, "_part int, _before long")
+    starts = spark.createDataFrame(before, "_p int, _before long")
     at = F.col("_mono").bitwiseAND((1 << 33) - 1) + F.col("_before")
-    return placed.join(F.broadcast(starts), "_part").withColumn(column, at).drop("_part", "_mono", "_before")
+    return placed.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(column, at).select(*rows.columns, column)
 
 
 def contiguous_groups(rows: DataFrame, number: str, total: Column, groups: int) -> DataFrame:
@@ -165,9 +202,8 @@ def compression_order(entries: DataFrame) -> DataFrame:
 
 def running_budget(rows: DataFrame, partition: list[str], order: str, size: str, limit: int, least: int = 0, most: int = 1 << 62) -> DataFrame:
     """Rows of fitting size whose running total up to and with them stays within ``limit``."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fitting = rows.where(F.col(size).between(least, most))
-    return fitting.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= limit)
+    return running_totals(fitting, partition, order, size, "running").where(F.col("running") <= limit)
 
 
 def required_version(entries: DataFrame) -> DataFrame:
@@ -190,8 +226,8 @@ def logical_mismatches(parents: DataFrame, children: DataFrame, key: str, expect
     return parents.join(sums, key, "left").withColumn("got", F.coalesce("got", F.lit(0))).where(F.col(expected) != F.col("got"))
 
 
-def dangling(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    return children.join(parents.select(key).distinct(), key, "left_anti")
+def dangling(children: DataFrame, parents: DataFrame, *key: str) -> DataFrame:
+    return children.join(parents.select(*key).distinct(), list(key), "left_anti")
 
 
 def out_of_bounds(chunks: DataFrame, limit: int) -> DataFrame:

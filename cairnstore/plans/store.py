@@ -1,15 +1,16 @@
 """The archive store: pack, list, info, verify, extract and unpack over Parquet tables.
 
-An archive is a folder of versions, each with the tables `entries`, `chunks`, `blobs` and `archive`; the file
-`_CURRENT` names the version that is published, so readers see a whole archive or the one before it. Listing and
+An archive is a folder of versions, each with the tables `entries`, `chunks`, `blobs` and `archive`; the newest of
+the files `_CURRENT-...` names the version that is published, so readers see a whole archive or the one before it. Listing and
 profiling never read `blobs`; extraction reads only the groups that the asked entries need.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnstore.functions import chunking, codecs, transforms
@@ -18,6 +19,8 @@ from cairnstore.operators import catalog as C
 
 #: Chunks compressed together; with the largest chunk of 256 KiB a group is 16 MiB at most.
 GROUP_CHUNKS = 64
+#: Names of published versions start so; the number orders them.
+POINTER = "_CURRENT-"
 # Transforms that are tried on a chunk, by codec.
 CANDIDATES = {"zstd": (), "lzma2": (1, 2, 3, 4, 5), "cm": (3, 5)}
 
@@ -79,35 +82,58 @@ def choose(data: bytes, codec: str, sniffed: int) -> tuple[int, bytes, bool]:
 
 
 def pack(entries: DataFrame, path: str, mode: str = "best", least: int = chunking.LEAST, most: int = chunking.MOST, bits: int = chunking.BITS) -> str:
-    """Write entries (entry_id, name, content and what else `_fields` names) as a new version; returns its folder."""
+    """Write entries (entry_id, name, content and what else `_fields` names) as a new version; returns its folder.
+
+    A pack that fails leaves no folder and the version before it stays published.
+    """
     if mode not in S.MODES:
         raise ValueError(f"modes are {', '.join(S.MODES)}")
+    version = f"{path.rstrip('/')}/v-{uuid4().hex}"
+    try:
+        _write_version(entries, version, mode, least, most, bits)
+        _publish(entries.sparkSession, path, version)
+    except BaseException:
+        where, fs, jvm = _files(entries.sparkSession, version)
+        fs.delete(where, True)
+        raise
+    return version
+
+
+def _write_version(entries: DataFrame, version: str, mode: str, least: int, most: int, bits: int) -> None:
     spark = entries.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     codec = S.MODES[mode][1]
-    version = f"{path.rstrip('/')}/v-{uuid4().hex}"
     kept = _fields(C.drop_duplicate_names(entries, "name", ["entry_id"]))
-    parts = chunk_rows(kept, mode, least, most, bits)
+    work = f"{version}/_work"
+    with small_batches(spark, 16):
+        chunk_rows(kept, mode, least, most, bits).write.parquet(f"{work}/parts")
+    parts = spark.read.parquet(f"{work}/parts")
     refs = parts.select("entry_id", "pos", "hash", "n_bytes")
-    unique = C.first_wins(parts, "hash", ["entry_id", "pos"], ["entry_id", "pos", "n_bytes", "xform", "body"])
+    # Bodies stay where they are until it is known which chunk comes first.
+    unique = C.first_wins(refs, "hash", ["entry_id", "pos"], ["entry_id", "pos"]).drop("n_refs")
+    numbered = C.dense_ids(unique, ["entry_id", "pos"], "chunk_id")
+    numbered = numbered.withColumn("group_id", F.floor(F.col("chunk_id") / GROUP_CHUNKS).cast("long"))
+    first = parts.join(numbered, ["hash", "entry_id", "pos"])
 
     def chosen(batches):
         import pyarrow as pa
 
         for b in batches:
             picked = [choose(x, codec, t) for x, t in zip(b.column("body").to_pylist(), b.column("xform").to_pylist(), strict=True)]
-            columns = [b.column(c) for c in ("hash", "entry_id", "pos", "n_bytes")]
-            columns += [pa.array([p[0] for p in picked], pa.int32()), pa.array([p[2] for p in picked]), pa.array([p[1] for p in picked], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["hash", "entry_id", "pos", "n_bytes", "xform", "stored", "body"])
-
-    schema = "hash string, entry_id bigint, pos int, n_bytes bigint, xform int, stored boolean, body binary"
-    work = f"{version}/_work"
-    unique.select("hash", "entry_id", "pos", "n_bytes", "xform", "body").mapInArrow(chosen, schema).write.parquet(work)
-    numbered = C.dense_ids(spark.read.parquet(work).select("hash", "entry_id", "pos", "n_bytes", "xform", "stored"), ["entry_id", "pos"], "chunk_id")
-    numbered = numbered.withColumn("group_id", F.floor(F.col("chunk_id") / GROUP_CHUNKS).cast("long"))
-    numbered.select("chunk_id", "hash", "n_bytes", "stored", "xform", "group_id").write.parquet(f"{version}/chunks")
+            columns = [b.column(c) for c in ("chunk_id", "group_id", "hash", "n_bytes")]
+            columns += [pa.array([p[0] for p in picked], pa.int32()), pa.array([p[2] for p in picked], pa.bool_()), pa.array([p[1] for p in picked], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk_id", "group_id", "hash", "n_bytes", "xform", "stored", "body"])
+
+    schema = "chunk_id bigint, group_id bigint, hash string, n_bytes bigint, xform int, stored boolean, body binary"
+    with small_batches(spark, 64):
+        first.select("chunk_id", "group_id", "hash", "n_bytes", "xform", "body").mapInArrow(chosen, schema).write.parquet(f"{work}/bodies")
+    bodies = spark.read.parquet(f"{work}/bodies")
+    here = Window.partitionBy("group_id", "stored").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)  # GROUP_CHUNKS rows at most
+    placed = bodies.drop("body").withColumn("region_offset", F.coalesce(F.sum("n_bytes").over(here), F.lit(0)))
+    placed.repartitionByRange("group_id").write.parquet(f"{version}/chunks")
     chunks = spark.read.parquet(f"{version}/chunks")
-    bodies = spark.read.parquet(work).select("hash", "body").join(chunks.select("hash", "chunk_id", "group_id", "stored"), "hash")
+    wanted, got = refs.agg(F.count_distinct("hash")).first()[0], chunks.agg(F.count("*"), F.coalesce(F.max("chunk_id") + 1, F.lit(0))).first()
+    if not wanted == got[0] == got[1]:
+        raise RuntimeError(f"{wanted} chunks, but {got[0]} were written, numbered up to {got[1]}")
 
     def frames(pdf):
         import pandas as pd
@@ -117,17 +143,22 @@ def pack(entries: DataFrame, path: str, mode: str = "best", least: int = chunkin
         frame = codecs.Frame("raw", data) if pdf["stored"].iloc[0] else codecs.compress(data, mode)
         return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "stored": [bool(pdf["stored"].iloc[0])], "codec": [frame.codec], "raw_bytes": [len(data)], "payload": [frame.payload]})
 
-    blobs = bodies.groupBy("group_id", "stored").applyInPandas(frames, "group_id bigint, stored boolean, codec string, raw_bytes bigint, payload binary")
+    blobs = bodies.select("group_id", "stored", "chunk_id", "body").groupBy("group_id", "stored").applyInPandas(frames, "group_id bigint, stored boolean, codec string, raw_bytes bigint, payload binary")
     blobs.repartitionByRange("group_id").write.parquet(f"{version}/blobs")
     lists = C.chunk_lists(refs.join(chunks.select("hash", "chunk_id"), "hash"))
     sizes = refs.groupBy("entry_id").agg(F.sum("n_bytes").alias("size"))
-    rows = kept.drop("content").join(lists, "entry_id", "left").join(sizes, "entry_id", "left")
+    # A hard link has the chunks of the name that it points to.
+    first = kept.where(F.col("kind") != "hardlink").select(F.col("name").alias("link"), F.col("entry_id").alias("_of"))
+    rows = kept.drop("content").join(first.withColumn("kind", F.lit("hardlink")), ["link", "kind"], "left")
+    rows = rows.withColumn("_of", F.coalesce("_of", "entry_id"))
+    parts_of = lists.join(sizes, "entry_id").withColumnRenamed("entry_id", "_of")
+    rows = rows.join(parts_of, "_of", "left").drop("_of")
     rows = rows.withColumn("size", F.coalesce("size", F.lit(0))).withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<bigint>")))
     rows.write.parquet(f"{version}/entries")
     totals = chunks.agg(F.count("*").alias("n_chunks")).crossJoin(spark.read.parquet(f"{version}/entries").agg(F.count("*").alias("n_entries"), F.sum("size").alias("total_bytes")))
     totals.withColumn("mode", F.lit(mode)).write.parquet(f"{version}/archive")
-    _publish(spark, path, version)
-    return version
+    where, fs, jvm = _files(spark, work)
+    fs.delete(where, True)
 
 
 def _files(spark: SparkSession, path: str):
@@ -136,18 +167,38 @@ def _files(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
+def _pointers(fs, where) -> list[str]:
+    names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(n for n in names if n.startswith(POINTER))
+
+
 def _publish(spark: SparkSession, path: str, version: str) -> None:
-    """Point readers to ``version`` by one rename."""
+    """Make ``version`` the newest by one rename to a name that was not there; older pointers go afterwards.
+
+    Readers take the newest pointer there is, so at any moment they see a whole version.
+    """
     where, fs, jvm = _files(spark, path)
-    work = jvm.org.apache.hadoop.fs.Path(f"{version}/_work")
-    fs.delete(work, True)
-    new, current = (jvm.org.apache.hadoop.fs.Path(where, n) for n in (f"_CURRENT.{uuid4().hex}", "_CURRENT"))
-    out = fs.create(new, True)
-    out.write(bytearray(version.rsplit("/", 1)[1].encode()))
-    out.close()
-    fs.delete(current, False)
-    if not fs.rename(new, current):
+    before = _pointers(fs, where)
+    number = int(before[-1][len(POINTER) :].split("-")[0]) + 1 if before else 1
+    new = jvm.org.apache.hadoop.fs.Path(where, f"_new-{uuid4().hex}")
+    fs.create(new, True).close()
+    name = f"{POINTER}{number:012d}-{version.rsplit('/', 1)[1]}"
+    if not fs.rename(new, jvm.org.apache.hadoop.fs.Path(where, name)):
         raise OSError(f"{version} could not be published")
+    for old in before:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(where, old), False)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` rows for the jobs that run inside, as these rows carry whole contents."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class Archive:
@@ -155,10 +206,10 @@ class Archive:
 
     def __init__(self, spark: SparkSession, path: str):
         where, fs, jvm = _files(spark, path)
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(where, "_CURRENT"))
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-        self.folder = f"{path.rstrip('/')}/{reader.readLine()}"
-        reader.close()
+        pointers = _pointers(fs, where)
+        if not pointers:
+            raise FileNotFoundError(f"no archive at {path}")
+        self.folder = f"{path.rstrip('/')}/{pointers[-1][len(POINTER) :].split('-', 1)[1]}"
         self.spark = spark
 
     def table(self, name: str) -> DataFrame:
@@ -171,13 +222,19 @@ class Archive:
     def info(self) -> DataFrame:
         return C.archive_profile(self.table("chunks")).crossJoin(self.table("archive"))
 
-    def _bodies(self, chunks: DataFrame) -> DataFrame:
-        """(chunk_id, body) of the wanted chunks; whole groups are decompressed, others are not read."""
-        w = C.region_offsets(self.table("chunks"), ["group_id", "stored"], "chunk_id")
-        wanted = w.join(chunks, "chunk_id", "left_semi")
+    def _bodies(self, chunks: DataFrame | None = None) -> DataFrame:
+        """(chunk_id, body, intact) of the wanted chunks, or of all; whole groups are decompressed, others are not read.
+
+        A chunk whose group is lost or broken has an empty body and is not intact.
+        """
+        wanted, blobs = self.table("chunks"), self.table("blobs")
+        if chunks is not None:
+            wanted = wanted.join(chunks, "chunk_id", "left_semi")
+            # Files and row groups of blobs are ranges of groups: bounds on the groups spare the rest of the scan.
+            ends = wanted.agg(F.min("group_id").alias("low"), F.max("group_id").alias("high")).first()
+            blobs = blobs.where(F.col("group_id").between(ends["low"], ends["high"])) if ends["low"] is not None else blobs.limit(0)
         members = wanted.groupBy("group_id", "stored").agg(F.collect_list(F.struct("chunk_id", "region_offset", "n_bytes", "xform", "hash")).alias("members"))
-        groups = self.table("blobs").join(members, ["group_id", "stored"])
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        groups = members.join(blobs, ["group_id", "stored"], "left")
 
         def run(batches):
             import hashlib
@@ -185,10 +242,11 @@ class Archive:
             import pyarrow as pa
 
             for b in batches:
-                for codec, payload, raw, members in zip(*(b.column(c).to_pylist() for c in ("codec", "payload", "raw_bytes", "members")), strict=True):
+                for k in range(b.num_rows):  # a group of 16 MiB at a time
+                    codec, payload, raw, members = (b.column(c)[k].as_py() for c in ("codec", "payload", "raw_bytes", "members"))
                     out: list[list] = [[], [], []]
                     try:
-                        data = codecs.decompress(codecs.Frame(codec, payload), raw)
+                        data = codecs.decompress(codecs.Frame(codec, payload), raw) if codec is not None else b""
                     except ValueError:
                         data = b""
                     for m in members:
@@ -201,19 +259,29 @@ class Archive:
 
         return groups.select("codec", "payload", "raw_bytes", "members").mapInArrow(run, "chunk_id bigint, body binary, intact boolean")
 
-    def extract(self, asks: list[str] | None = None, verify: bool = False) -> DataFrame:
-        """(name, kind, mode, mtime_ns, link, content) of the asked entries, or of all."""
+    def entries(self, asks: list[str] | None = None) -> DataFrame:
+        """The asked entries, or all, without contents."""
         entries = self.table("entries")
-        if asks:
-            entries = C.select_asked(entries, self.spark.createDataFrame([(a,) for a in asks], "ask string"))
+        return C.select_asked(entries, self.spark.createDataFrame([(a,) for a in asks], "ask string")) if asks else entries
+
+    def extract(self, asks: list[str] | None = None, verify: bool = False) -> DataFrame:
+        """(name, kind, mode, mtime_ns, link, content) of the asked entries, or of all.
+
+        A file that does not come back in its full size is an error, with ``verify`` also a chunk of another hash.
+        """
+        entries = self.entries(asks)
         refs = entries.select("entry_id", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
-        bodies = self._bodies(refs.select("chunk_id").distinct())
+        bodies = self._bodies(refs.select("chunk_id").distinct() if asks else None)
         if verify:
             bodies = bodies.withColumn("body", F.when(F.col("intact"), F.col("body")).otherwise(F.raise_error(F.lit("a chunk is broken"))))
+        # A chunk that is lost leaves its file short.
         content = C.assemble(refs.join(bodies, "chunk_id"), "entry_id", "pos", "body").withColumnRenamed("body", "content")
         whole = entries.join(content, "entry_id", "left")
         is_file = F.col("kind").isin("file", "hardlink")
-        return whole.select("name", "kind", "mode", "mtime_ns", "link", F.when(is_file, F.coalesce("content", F.lit(b""))).alias("content"))
+        content = F.when(is_file, F.coalesce("content", F.lit(b"")))
+        short = F.raise_error(F.concat(F.lit("incomplete: "), "name")).cast("binary")
+        content = F.when(is_file & (F.octet_length(content) != F.col("size")), short).otherwise(content)
+        return whole.select("name", "kind", "mode", "mtime_ns", "link", content.alias("content"))
 
     def unmatched(self, asks: list[str]) -> DataFrame:
         return C.unmatched(self.table("entries"), self.spark.createDataFrame([(a,) for a in asks], "ask string"))
@@ -228,8 +296,8 @@ class Archive:
             ("size", C.logical_mismatches(files, sums, "entry_id", "size", "n_bytes").select("entry_id")),
             ("chunk", C.dangling(refs, chunks, "chunk_id").select("chunk_id")),
             ("bound", C.out_of_bounds(chunks, 256 << 20).select("chunk_id")),
-            ("group", C.dangling(chunks, blobs, "group_id").select("chunk_id")),
-            ("content", self._bodies(chunks.select("chunk_id")).where(~F.col("intact")).select("chunk_id")),
+            ("group", C.dangling(chunks, blobs, "group_id", "stored").select("chunk_id")),
+            ("content", self._bodies().where(~F.col("intact")).select("chunk_id")),
             ("count", self.table("archive").join(chunks.agg(F.count("*").alias("got")), F.col("got") != F.col("n_chunks")).select(F.col("got").cast("long"))),
             ("name", entries.where(~S.safe_name(F.col("name"))).select("entry_id")),
         ]
@@ -244,8 +312,10 @@ def unpack(spark: SparkSession, path: str, target: str, asks: list[str] | None =
     """Write entries below ``target``, a folder that every executor sees; returns how many."""
     from cairnstore.sources.restore import write_entries
 
-    rows = Archive(spark, path).extract(asks, verify)
-    bad = rows.where(~S.safe_name(F.col("name"))).limit(1).collect()
+    archive = Archive(spark, path)
+    names = archive.entries(asks).select("name", "kind", "mode", "mtime_ns", "link")
+    bad = names.where(~S.safe_name(F.col("name"))).limit(1).collect()
     if bad:
         raise ValueError(f"unsafe name {bad[0]['name']!r}")
-    return write_entries(rows, target)
+    with small_batches(spark, 16):
+        return write_entries(archive.extract(asks, verify), target, names)

@@ -47,26 +47,49 @@ def _write(target: str, row) -> None:
     part = f"{path}.part{os.getpid()}"
     with open(part, "wb") as f:
         f.write(row["content"] or b"")
-    os.chmod(part, (row["mode"] or 0o644) & 0o777)
+    os.chmod(part, (row["mode"] or 0o644) & 0o7777)
     if row["mtime_ns"]:
         os.utime(part, ns=(row["mtime_ns"], row["mtime_ns"]))
     os.replace(part, path)
 
 
-def write_entries(rows: DataFrame, target: str) -> int:
-    """Files and folders first, links after them, modes and times of folders last and deepest first."""
+def write_entries(rows: DataFrame, target: str, names: DataFrame | None = None) -> int:
+    """Files and folders first, then links, then modes and times of folders, deepest first; returns how many.
 
-    def write(part):
+    Contents are computed once, in the pass that writes them; ``names`` gives the same entries without contents for
+    the later passes. A hard link is written as a file of its own and made a link if its target was restored too.
+    """
+    names = rows.drop("content") if names is None else names
+
+    def write(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = 0
+            for row in b.to_pylist():
+                if row["kind"] != "symlink":
+                    _write(target, row)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    def link(part):
         for row in part:
-            _write(target, row)
+            if row["kind"] == "symlink":
+                _write(target, {**row.asDict(), "content": None})
+                continue
+            path, first = inside(target, row["name"]), inside(target, row["link"])
+            if os.path.isfile(first) and not os.path.islink(first):
+                spare = f"{path}.link{os.getpid()}"
+                os.link(first, spare)
+                os.replace(spare, path)
 
-    plain = rows.where(F.col("kind") != "symlink")
-    plain.foreachPartition(write)
-    rows.where(F.col("kind") == "symlink").foreachPartition(write)
-    folders = rows.where(F.col("kind") == "dir").select("name", "mode", "mtime_ns").orderBy(F.length("name").desc())
+    written = rows.mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    links = names.where(F.col("kind").isin("symlink", "hardlink") & F.col("link").isNotNull())
+    links.foreachPartition(link)
+    folders = names.where(F.col("kind") == "dir").select("name", "mode", "mtime_ns").orderBy(F.length("name").desc())
     for d in folders.toLocalIterator():
         path = inside(target, d["name"])
-        os.chmod(path, (d["mode"] or 0o755) & 0o777)
+        os.chmod(path, (d["mode"] or 0o755) & 0o7777)
         if d["mtime_ns"]:
             os.utime(path, ns=(d["mtime_ns"], d["mtime_ns"]))
-    return rows.count()
+    return written + names.where(F.col("kind") == "symlink").count()

@@ -55,6 +55,110 @@ def test_verify_finds_damage(spark, contents, tmp_path):
     assert store.Archive(spark, path).verify().where("what = 'content'").count() > 0
 
 
+def move_blobs_aside(spark, version, keep):
+    import shutil
+
+    spark.read.parquet(f"{version}/blobs").where(keep).write.parquet(f"{version}/new")
+    shutil.rmtree(f"{version}/blobs")
+    os.rename(f"{version}/new", f"{version}/blobs")
+
+
+def test_lost_blobs_are_noticed(spark, contents, tmp_path):
+    """Each blob in turn: verify names its chunks, extraction fails, with or without verification."""
+    rng = random.Random(9)
+    mixed = contents | {f"r{k}": rng.randbytes(9000) for k in range(12)}
+    first = store.pack(entries_of(spark, mixed), str(tmp_path / "first"), "fast", 256, 4096, 10)
+    groups = [(r["group_id"], r["stored"]) for r in spark.read.parquet(f"{first}/blobs").collect()]
+    assert len({s for _, s in groups}) == 2
+    for n, (group, stored) in enumerate(groups[:4]):
+        path = str(tmp_path / f"a{n}")
+        version = store.pack(entries_of(spark, mixed), path, "fast", 256, 4096, 10)
+        move_blobs_aside(spark, version, (F.col("group_id") != group) | (F.col("stored") != stored))
+        archive = store.Archive(spark, path)
+        wrong = {r["what"] for r in archive.verify().collect()}
+        assert {"group", "content"} <= wrong
+        for verify in (False, True):
+            with pytest.raises(Exception, match="incomplete|broken"):
+                archive.extract(verify=verify).collect()
+
+
+def test_wide_rows_keep_their_numbers(spark):
+    """Numbers come from the run of the sort that is counted, at any width and under adaptive execution."""
+    rows = spark.range(30_000).select(F.col("id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 24).alias("payload"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("k"))
+    got = C.dense_ids(rows, ["k", "id"], "n").select("id", "k", "n").toPandas().sort_values("n")
+    assert got["n"].tolist() == list(range(30_000))
+    assert got.equals(got.sort_values(["k", "id"]))
+
+
+def test_running_totals(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 1, 5, 7])) for i in range(3000)]
+    rows = spark.createDataFrame(data, "k string, i int, v long").repartition(7)
+    want, total = {}, {}
+    for k, i, v in data:
+        total[k] = total.get(k, 0) + (v or 0)
+        want[i] = total[k]
+    assert {r["i"]: r["t"] for r in C.running_totals(rows, ["k"], "i", "v", "t").collect()} == want
+
+
+def test_many_chunks(spark, tmp_path):
+    rng = random.Random(3)
+    contents = {f"f{k}": rng.randbytes(150_000) for k in range(8)}
+    path = str(tmp_path / "archive")
+    store.pack(entries_of(spark, contents), path, "fast", 16, 64, 4)
+    archive = store.Archive(spark, path)
+    assert archive.table("chunks").count() > 25_000
+    assert {r["name"]: bytes(r["content"]) for r in archive.extract(verify=True).collect()} == contents
+    assert archive.verify().count() == 0
+
+
+def test_failed_packs_leave_nothing(spark, contents, tmp_path):
+    path = str(tmp_path / "archive")
+    store.pack(entries_of(spark, {"x": b"1"}), path, "fast")
+    broken = entries_of(spark, contents).withColumn("content", F.when(F.col("name") == "empty", F.raise_error(F.lit("no")).cast("binary")).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="no"):
+        store.pack(broken, path, "fast")
+    assert sum(n.startswith("v-") for n in os.listdir(path)) == 1
+    assert [r["name"] for r in store.Archive(spark, path).list().collect()] == ["x"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trees_round_trip(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    top = tmp_path / "top"
+    top.mkdir()
+    folders = [top]
+    for k in range(6):
+        folders.append(rng.choice(folders) / f"d{k} é")
+        folders[-1].mkdir()
+    files = []
+    for k in range(20):
+        files.append(rng.choice(folders) / f"f{k}.bin")
+        files[-1].write_bytes(rng.randbytes(rng.choice([0, 10, 3000])) * rng.choice([1, 9]))
+        os.chmod(files[-1], rng.choice([0o600, 0o644, 0o755]))
+        os.utime(files[-1], ns=(10**18 + k, 10**18 + k * 7))
+    os.link(files[0], top / "zz-hard")
+    os.symlink("nowhere", top / "zz-soft")
+    out = tmp_path / "out"
+    store.pack(fs_tree.tree_entries(spark, [str(top)]), str(tmp_path / "archive"), "fast", 256, 4096, 10)
+    n = store.unpack(spark, str(tmp_path / "archive"), str(out), verify=True)
+    assert n == 1 + 6 + 20 + 2
+    for f in files:
+        new = out / f.relative_to(tmp_path)
+        assert new.read_bytes() == f.read_bytes()
+        assert (new.stat().st_mode, new.stat().st_mtime_ns) == (f.stat().st_mode, f.stat().st_mtime_ns)
+    assert os.readlink(out / "top/zz-soft") == "nowhere"
+    assert (out / "top/zz-hard").read_bytes() == files[0].read_bytes()
+    assert (out / "top/zz-hard").stat().st_ino == (out / files[0].relative_to(tmp_path)).stat().st_ino
+    assert store.Archive(spark, str(tmp_path / "archive")).verify().count() == 0
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    rows = spark.createDataFrame([(str(tmp_path / "gone"),), (str(tmp_path),)], "full string")
+    got = fs_tree.with_content(rows).collect()
+    assert all(r["content"] is None and r["error"] for r in got) and len(got) == 2
+
+
 def test_publishing_keeps_the_last(spark, contents, tmp_path):
     path = str(tmp_path / "archive")
     store.pack(entries_of(spark, contents), path, "fast")
