@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnstore.lineage import checkpointed, shared_folder  # noqa: F401  for the operators of this package
+
 #: Rows in an Arrow batch of long texts; bounds a Python worker's memory.
 BATCH_ROWS = 256
 
@@ -65,25 +66,21 @@ def filter_rows(df: DataFrame, columns: list[str], make: Callable) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a folder of our own only where none is configured."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh(name: str, rows: DataFrame) -> str:
+    """``name`` with as many underscores in front as tell it from all columns of ``rows``."""
+    taken = {c.lower() for c in rows.columns}
+    name = f"__{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The rows whose ``column`` (a long) is not in ``keys``; only rows in a key's hash bucket are shuffled."""
     keys = checkpointed(keys.distinct())
-    own = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int") == F.col("__bucket")
-    wanted = F.broadcast(keys.select(F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int").alias("__bucket")).distinct())
+    name = fresh("bucket", rows)
+    own = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int") == F.col(name)
+    wanted = F.broadcast(keys.select(F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int").alias(name)).distinct())
     near, rest = rows.join(wanted, own, "left_semi"), rows.join(wanted, own, "left_anti")
     return near.join(keys, column, "left_anti").unionByName(rest)
 
@@ -120,7 +117,7 @@ def among(rows: DataFrame, column: str, keys: DataFrame, exact: bool = True) ->
     The broadcast set holds at most `BUCKETS` integers however many keys there are. It spares most other rows the
     shuffle of the exact step and drops none that is needed; with very many keys it merely spares less.
     """
-    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
-    wanted = keys.select(bucket.alias("__bucket")).distinct()
-    near = rows.withColumn("__bucket", bucket).join(F.broadcast(wanted), "__bucket", "left_semi").drop("__bucket")
+    bucket, name = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int"), fresh("bucket", rows)
+    wanted = keys.select(bucket.alias(name)).distinct()
+    near = rows.withColumn(name, bucket).join(F.broadcast(wanted), name, "left_semi").drop(name)
     return near.join(keys, column, "left_semi") if exact else near

@@ -1,13 +1,19 @@
-"""Benchmark decontamination by an Aho-Corasick automaton.
+"""Benchmark decontamination by one Aho-Corasick automaton.
 
 Test items and documents are normalised alike: A-Z lower-cased, words are runs of digits, letters a-z and
-non-ASCII characters, joined by one space. Every window of ``window`` consecutive item words (a shorter item is
-one window) is a pattern; the automaton scans each whole text once and hit words are mapped back to offsets in
-the original text. The automaton is built from a measured number of pattern bytes: a larger benchmark is split
-into several automata, each scanned in a pass of its own, and the passes are merged by document row.
+non-ASCII characters. Every window of ``window`` consecutive item words (a shorter item is one window) is a pattern.
+The automaton reads words, not letters: the benchmark's distinct words are numbered, and a document becomes a
+sequence of these numbers, with one number for every other word. Each whole text is scanned once, and hit words are
+mapped back to offsets in the original text.
+
+The benchmark is the side that is broadcast: its normalised words, `BENCHMARK_BYTES` at most, which is checked (a
+larger benchmark is refused with an error, not cut). A Python worker builds the automaton once and keeps it for all
+its tasks; it takes some 1.5 KB for each window. A document takes a list of its words and of their places, some
+60 bytes a word.
 
 Defined results: a null or empty text has no words; null item ids or texts take no part; items that share an id
-count once; a document is contaminated if at least one word and at least 1/``share`` of its words are hit.
+count once; rows of one doc_id are judged one by one; a document is contaminated if at least one word and at least
+1/``share`` of its words are hit; other columns of ``docs`` do not matter, `clean_rows` passes them through.
 """
 
 from __future__ import annotations
@@ -20,8 +26,8 @@ from pyspark.sql import functions as F
 from cairnstore.llm.common import filter_rows, map_columns
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Bytes of distinct patterns in one automaton, some 64 bytes of memory each.
-AUTOMATON_BYTES = 4_000_000
+#: Bytes of the benchmark's normalised words, at most.
+BENCHMARK_BYTES = 64 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -29,146 +35,102 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def pattern_blocks(items, window: int, limit: int = AUTOMATON_BYTES):
-    """Blocks of {pattern: item ids}, each of about ``limit`` pattern bytes at most."""
-    block: dict[str, set] = {}
-    held = 0
-    for item, text in items:
-        words = words_of(text)
-        if item is None or not words:
-            continue
-        for i in range(max(1, len(words) - window + 1)):
-            pattern = (b" " + b" ".join(words[i : i + window]) + b" ").decode("latin-1")
-            if pattern not in block:
-                block[pattern] = set()
-                held += len(pattern)
-            block[pattern].add(item)
-        if held >= limit:
-            yield block
-            block, held = {}, 0
-    if block:
-        yield block
-
-
-def scanner(block: dict[str, set]):
-    """A function from text to (number of words, [(start, end) in code points], sorted item ids, hit word indexes)."""
+def scanner(items: list[tuple[str, list[bytes]]], window: int):
+    """A function from text to (number of words, [(start, end) in code points], sorted item ids, number of hit words)."""
     import ahocorasick
     import numpy as np
 
-    automaton = ahocorasick.Automaton()
-    for pattern, items in block.items():
-        automaton.add_word(pattern, (pattern.count(" ") - 1, items))
-    if len(automaton):
+    number: dict[bytes, int] = {}
+    patterns: dict[tuple, set] = {}
+    for item, words in items:
+        ids = [number.setdefault(w, len(number) + 1) for w in words]
+        for i in range(max(1, len(ids) - window + 1)):
+            patterns.setdefault(tuple(ids[i : i + window]), set()).add(item)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for pattern, ids in patterns.items():
+        automaton.add_word(pattern, (len(pattern), ids))
+    if patterns:
         automaton.make_automaton()
 
     def scan(text: str | None):
         words = words_of(text)
-        if not words or not len(automaton):
-            return len(words), [], [], []
-        flat = b" " + b" ".join(words) + b" "
-        found, items = [], set()
-        for end, (length, ids) in automaton.iter(flat.decode("latin-1")):
+        if not words or not patterns:
+            return len(words), [], [], 0
+        get = number.get
+        found, hit_items = [], set()
+        for end, (length, ids) in automaton.iter(tuple([get(w, 0) for w in words])):
             found.append((end, length))
-            items |= ids
+            hit_items |= ids
         if not found:
-            return len(words), [], [], []
-        spaces = np.flatnonzero(np.frombuffer(flat, dtype=np.uint8) == 32)
+            return len(words), [], [], 0
         change = np.zeros(len(words) + 1, dtype=np.int64)
-        last = np.searchsorted(spaces, [e for e, _ in found])
-        np.add.at(change, last, -1)
-        np.add.at(change, last - np.array([n for _, n in found]), 1)
-        hit = np.flatnonzero(np.cumsum(change)[:-1] > 0)
+        for end, length in found:
+            change[end + 1] -= 1
+            change[end + 1 - length] += 1
+        hit = np.cumsum(change)[:-1] > 0
+        edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
         raw = text.encode("utf-8", "surrogatepass")
-        spans = [m.span() for m in WORD.finditer(raw.lower())]
-        runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
-        starts = np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)
-        at = lambda byte: int(starts[byte - 1]) if byte else 0  # noqa: E731  code points before a byte
-        offsets = [(at(spans[r[0]][0]), at(spans[r[-1]][1])) for r in runs]
-        return len(words), offsets, sorted(items, key=str), hit.tolist()
+        places = [m.span() for m in WORD.finditer(raw.lower())]
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
+        runs = zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)
+        spans = [(int(points[places[a][0]]), int(points[places[b - 1][1]])) for a, b in runs]
+        return len(words), spans, sorted(hit_items), int(hit.sum())
 
     return scan
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, limit: int = AUTOMATON_BYTES) -> list[dict]:
-    rows = ((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator())
-    return list(pattern_blocks(rows, window, limit))
-
-
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items) of every document row.
-
-    ``spans`` are the maximal runs of hit words as [start, end) code points of the original text.
-    """
-    blocks = benchmark_blocks(benchmark, window, limit)
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
-
-    def one(block):
-        def make():
-            scan = scanner(block)
-
-            def work(ids, texts):
-                found = [scan(t) for t in texts]
-                return (
-                    ids,
-                    [f[0] for f in found],
-                    [len(f[3]) for f in found],
-                    [[{"start": a, "end": b} for a, b in f[1]] for f in found],
-                    [[str(i) for i in f[2]] for f in found],
-                )
+def benchmark_items(benchmark: DataFrame, limit: int = BENCHMARK_BYTES) -> list[tuple[str, list[bytes]]]:
+    """(item id, words) of the items that have words; ValueError beyond ``limit`` bytes."""
+    out, held = [], 0
+    for item, text in benchmark.select("item_id", "text").toLocalIterator():
+        words = words_of(text)
+        if item is None or not words:
+            continue
+        held += sum(map(len, words)) + len(words)
+        if held > limit:
+            raise ValueError(f"the benchmark has over {limit} bytes of words; scan for its parts one after another")
+        out.append((str(item), words))
+    return out
 
-            return work
 
-        return make
+#: The scanners of this Python worker, by the broadcast that they were built from; the last one is kept.
+_BUILT: dict = {}
 
-    if len(blocks) <= 1:
-        return map_columns(docs, ["doc_id", "text"], one(blocks[0] if blocks else {}), schema)
-    return _merged(docs, blocks, schema)
 
+def _scanner_of(shared, window: int):
+    key = (shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else getattr(shared, "_path", None) or id(shared), window)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = scanner(shared.value, window)
+    return _BUILT[key]
 
 
-def _merged(docs: DataFrame, blocks: list[dict], schema: str) -> DataFrame:
-    """Scan the text with one automaton after another inside a task, so that rows need no shuffle to be merged.
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """(doc_id, n_words, n_hit, spans, items) of every document row.
 
-    Automata are rebuilt for each batch and dropped again: memory stays that of one automaton.
+    ``spans`` are the maximal runs of hit words as [start, end) code points of the original text.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(benchmark_items(benchmark))
+    schema = "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
     def make():
+        scan = _scanner_of(shared, window)
+
         def work(ids, texts):
-            words = [0] * len(ids)
-            hits: list[set] = [set() for _ in ids]
-            items: list[set] = [set() for _ in ids]
-            for block in blocks:
-                scan = scanner(block)
-                for k, t in enumerate(texts):
-                    words[k], _, found, hit = scan(t)
-                    hits[k].update(hit)
-                    items[k].update(map(str, found))
-            spans = [spans_of(t, h) for t, h in zip(texts, hits, strict=True)]
-            return ids, words, [len(h) for h in hits], spans, [sorted(i) for i in items]
+            found = [scan(t) for t in texts]
+            return (
+                ids,
+                [f[0] for f in found],
+                [f[3] for f in found],
+                [[{"start": a, "end": b} for a, b in f[1]] for f in found],
+                [f[2] for f in found],
+            )
 
         return work
 
     return map_columns(docs, ["doc_id", "text"], make, schema)
 
 
-def spans_of(text: str | None, hit: set[int]) -> list[dict]:
-    """[start, end) code points of the maximal runs of the hit words."""
-    out: list[dict] = []
-    if not hit:
-        return out
-    raw = text.encode("utf-8", "surrogatepass")
-    before = -2
-    for k, m in enumerate(WORD.finditer(raw.lower())):
-        if k in hit:
-            start, end = (len(raw[:x].decode("utf-8", "surrogatepass")) for x in m.span())
-            if before == k - 1:
-                out[-1]["end"] = end
-            else:
-                out.append({"start": start, "end": end})
-            before = k
-    return out
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """`scan_documents` with ``contaminated``."""
     return scan_documents(docs, benchmark, window).withColumn(
@@ -176,23 +138,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     )
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """The rows of ``docs``, all columns, that `decontaminate` does not call contaminated."""
-    blocks = benchmark_blocks(benchmark, window)
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs, however long the text is."""
+    shared = docs.sparkSession.sparkContext.broadcast(benchmark_items(benchmark))
 
     def make():
-        kept = [scanner(b) for b in blocks[:1]]
-
-        def test(texts):
-            words, hits = [0] * len(texts), [set() for _ in texts]
-            for k in range(len(blocks)):
-                scan = kept[0] if len(blocks) == 1 else scanner(blocks[k])
-                for i, t in enumerate(texts):
-                    words[i], _, _, hit = scan(t)
-                    hits[i].update(hit)
-            return [not h or share * len(h) < n for n, h in zip(words, hits, strict=True)]
-
-        return test
+        scan = _scanner_of(shared, window)
+        return lambda texts: [not scan(t)[3] for t in texts]
 
     return filter_rows(docs, ["text"], make)
 

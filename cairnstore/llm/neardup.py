@@ -12,7 +12,8 @@ every pair of a band is confirmed, refused or already connected, so components a
 At similarity 0.85 a pair misses every band with probability 1e-6.
 
 Defined results: a null or blank text has an empty set, linked with nothing; fewer words than a shingle are one
-shingle; rows of one doc_id are one document for linking; a null doc_id has no component and is kept.
+shingle; rows of one doc_id are one document for linking, whether their texts are equal or not, and stay or go
+together; a null doc_id has no component and is kept; other columns do not matter, `one_of_each` passes them through.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cairnstore.llm.bands import banded_components, labelled
 from cairnstore.llm.common import among, checkpointed, map_columns, without
+from cairnstore.llm.graph import connected_components
 
 REGISTERS, ROWS, BANDS = 256, 7, 36
 MANTISSA = 10
@@ -216,6 +218,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return _measured(pairs, sets, percent, gate)
 
     labels = banded_components(met, measure, _members(sets), percent)
+    # A doc_id whose rows have different sets joins their classes.
+    own = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
+    many = checkpointed(own.agg(F.min("digest").alias("one"), F.max("digest").alias("two")).where("one <> two").select("doc_id"))
+    if not many.isEmpty():
+        named = rows.join(many, "doc_id", "left_semi").join(classes.select("digest", "id"), "digest")
+        named = labelled(named.select("doc_id", "id"), labels, "id", "component")
+        same = named.select("doc_id", "component").distinct()
+        hubs = same.groupBy("doc_id").agg(F.min("component").alias("src"))
+        more = same.join(hubs, "doc_id").select("src", F.col("component").alias("dst"))
+        labels = connected_components(labels.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(more))
     named = labelled(classes.select("digest", "id"), labels, "id", "component_id").select("digest", "component_id")
     return (
         rows.select("doc_id", "n_shingles", "digest")

@@ -2,17 +2,19 @@
 
 Words and character n-grams are hashed to buckets; every bucket has a learned vector; a document is the mean of
 its vectors, passed through a softmax layer. Trained by numpy stochastic gradient descent on a bounded sample of
-labelled rows (`TRAINING_ROWS`), scored on every whole text. As the model is linear after the mean, scoring
+labelled rows (`TRAINING_ROWS` and `SAMPLE_BYTES`, by hash of doc_id), scored on every whole text. As the model is linear after the mean, scoring
 needs one number a bucket: the difference of its vector's two logits.
 
 Defined results: a null or empty text scores by the output bias alone; with no labelled row of both classes
-every score is 0.5; null labels are not learned from.
+every score is 0.5; null labels are not learned from; rows of one doc_id are scored one by one; other columns do not
+matter, `good_rows` passes them through. A text of any length is read in blocks, with one array of its code points.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cairnstore.llm.common import filter_rows, held_out, map_columns, training_rows
 
@@ -23,7 +25,9 @@ EPOCHS = 5
 RATE = 0.4
 #: Labelled documents that the model is fitted on, at most.
 TRAINING_ROWS = 4_000
-#: Code points handled at a time; the grams that cross two blocks are counted once.
+#: Bytes of the sample's buckets and counts that the driver holds, at most; documents of larger hash go unlearned.
+SAMPLE_BYTES = 256 << 20
+#: Code points handled at a time.
 BLOCK = 1 << 20
 
 _MIX = np.uint32(0x9E3779B1)
@@ -36,30 +40,72 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     return ((h * np.uint32(0xC2B2AE35)) >> np.uint32(14)).astype(np.int32)
 
 
-def bucket_ids(text: str) -> np.ndarray:
-    """The buckets of a lower-cased text's words and character n-grams, one for each occurrence."""
+def bucket_blocks(text: str, block: int = BLOCK):
+    """The buckets of a lower-cased text's words and character n-grams, one for each occurrence, in arrays.
+
+    A block has the grams and words that start in it, so what reaches over a seam is counted once, whole.
+    """
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    if not len(codes):
-        return np.zeros(0, dtype=np.int32)
-    out = []
-    for n in GRAMS:
-        if len(codes) >= n:
-            h = np.zeros(len(codes) - n + 1, dtype=np.uint32)
-            for k in range(n):
-                h = h * _STEP + codes[k : len(codes) - n + 1 + k]
-            out.append(_bucket(h, n))
     inside = (codes != 32) & ((codes < 9) | (codes > 13))
+    for at in range(0, len(codes), block):
+        for n in GRAMS:
+            own = codes[at : at + block + n - 1]
+            if len(own) >= n:
+                h = np.zeros(len(own) - n + 1, dtype=np.uint32)
+                for k in range(n):
+                    h = h * _STEP + own[k : len(own) - n + 1 + k]
+                yield _bucket(h, n)
+        first = at
+        if at and inside[at - 1]:  # this word started in a block before
+            first += _run(inside[at:])
+        end = min(at + block, len(codes))
+        if first >= end:
+            continue
+        if inside[end - 1]:
+            end += _run(inside[end:])
+        yield from _word_buckets(codes[first:end], inside[first:end])
+
+
+def _run(inside: np.ndarray) -> int:
+    """How many true values there are at the front, found without a look at all of them."""
+    at, step = 0, 64
+    while at < len(inside):
+        gaps = np.flatnonzero(~inside[at : at + step])
+        if len(gaps):
+            return at + int(gaps[0])
+        at, step = at + step, step * 2
+    return len(inside)
+
+
+def _word_buckets(codes: np.ndarray, inside: np.ndarray):
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(starts):
         place = np.arange(len(codes), dtype=np.uint32)
         first = np.repeat(starts.astype(np.uint32), ends - starts)
-        own = codes[inside]
-        powers = (place[inside] - first) * np.uint32(2654435761) ^ own
+        powers = (place[inside] - first) * np.uint32(2654435761) ^ codes[inside]
         powers = (powers ^ (powers >> np.uint32(13))) * _MIX
         offsets = np.concatenate([[0], np.cumsum(ends - starts)[:-1]])
-        out.append(_bucket(np.add.reduceat(powers, offsets, dtype=np.uint32), 1))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+        yield _bucket(np.add.reduceat(powers, offsets, dtype=np.uint32), 1)
+
+
+def bucket_ids(text: str) -> np.ndarray:
+    parts = list(bucket_blocks(text))
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+
+
+def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and how often each occurs."""
+    total = None
+    for part in bucket_blocks(text):
+        if total is None and len(part) < 50_000:
+            return np.unique(np.concatenate([part, *list(bucket_blocks(text))[1:]]), return_counts=True)
+        counts = np.bincount(part, minlength=BUCKETS)
+        total = counts if total is None else total + counts
+    if total is None:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), total[ids]
 
 
 def _counted(rows: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -67,7 +113,7 @@ def _counted(rows: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
 
     def make():
         def work(ids, texts, labels):
-            sparse = [np.unique(bucket_ids(t), return_counts=True) for t in texts]
+            sparse = [bucket_counts(t) for t in texts]
             return (
                 ids,
                 labels,
@@ -78,11 +124,13 @@ def _counted(rows: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         return work
 
     table = map_columns(rows, ["doc_id", "text", "label"], make, "doc_id bigint, label int, ids binary, counts binary")
-    out = [
-        (r.doc_id, int(r.label > 0), np.frombuffer(r.ids, "<i4"), np.frombuffer(r.counts, "<i4"))
-        for r in table.toLocalIterator()
-    ]
-    return sorted(out, key=lambda r: (r[0], r[1], len(r[2])))
+    out, held = [], 0
+    for r in table.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "ids", "counts").toLocalIterator():
+        held += len(r.ids) + len(r.counts)
+        if held > SAMPLE_BYTES:
+            break
+        out.append((r.doc_id, int(r.label > 0), np.frombuffer(r.ids, "<i4"), np.frombuffer(r.counts, "<i4")))
+    return sorted(out, key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
 
 
 def train(rows: DataFrame, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -116,9 +164,7 @@ def train(rows: DataFrame, seed: int = 7) -> tuple[np.ndarray, float]:
 def score_text(text: str | None, logits: np.ndarray, bias: float) -> float:
     """Probability of label 1, from the mean over the whole text, read in blocks."""
     total, n = 0.0, 0
-    text = text or ""
-    for at in range(0, max(1, len(text)), BLOCK):
-        ids = bucket_ids(text[at : at + BLOCK])
+    for ids in bucket_blocks(text or ""):
         total += float(logits[ids].sum(dtype=np.float64))
         n += len(ids)
     x = bias + (total / n if n else 0.0)

@@ -43,7 +43,8 @@ def test_components(spark, seed):
     rng = random.Random(seed)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200)]
     got = graph.connected_components(spark.createDataFrame(links, "src long, dst long")).collect()
-    want = components({x for a, b in links if a != b for x in (a, b)}, links)
+    links = [(a, b) for a, b in links if a != b]
+    want = components({x for link in links for x in link}, links)
     assert {r["id"]: r["component"] for r in got} == want
     assert graph.connected_components(spark.createDataFrame([(None, 1)], "src long, dst long")).count() == 0
 
