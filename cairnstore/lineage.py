@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from the shared folder from then on."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once, written as a table in the shared folder and read from there from then on.
+
+    What was shuffled to compute it is not needed any more: on a cluster a collection on the driver lets Spark's cleaner
+    drop it from the executors' disks at once.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+    if not spark.sparkContext.master.startswith("local["):
+        spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(folder)
