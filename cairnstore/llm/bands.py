@@ -11,6 +11,10 @@ from cairnstore.llm.common import among, checkpointed
 from cairnstore.llm.graph import connected_components
 
 
+#: Bands by all features that an id goes on with, the smallest: what tells it from the rest of a large band.
+RAREST = 16
+
+
 def labelled(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with the component of ``column`` as ``name``: itself where it has none."""
     named = labels.select(F.col("id").alias(column), F.col("component").alias("found"))
@@ -118,13 +122,17 @@ def sized_bands(banded: DataFrame) -> DataFrame:
     return checkpointed(two.unionByName(more))
 
 
-def _hubs(met: DataFrame) -> DataFrame:
+def _hubs(met: DataFrame, rarest: int | None = None) -> DataFrame:
     """``met`` (id, band, m) with the hub of each band: its most typical member.
 
-    That is the one whose bands hold most ids, taken over all its bands.
+    That is the one whose bands hold most ids, taken over all its bands. With ``rarest`` each id then goes on only with
+    so many of its bands, the smallest.
     """
     own = Window.partitionBy("id")  # an id has as many rows as it has features
-    ranked = checkpointed(met.withColumn("score", F.sum(F.log2("m")).over(own)))
+    ranked = met.withColumn("score", F.sum(F.log2("m")).over(own))
+    if rarest:
+        ranked = ranked.withColumn("n", F.row_number().over(own.orderBy("m", "band"))).where(F.col("n") <= rarest).drop("n")
+    ranked = checkpointed(ranked)
     typical = F.max(F.struct("score", (-F.col("id")).alias("minus"), "id")).alias("top")
     hubs = ranked.groupBy("band").agg(typical).select("band", F.col("top.id").alias("hub"))
     return checkpointed(ranked.drop("score").join(hubs, "band"))
@@ -139,8 +147,8 @@ def feature_components(
     features of these ids. In turn
     1. every id meets the most typical member of each of its bands (`_hubs`);
     2. bands of three ids or more with members that are still apart are split: ids with three such bands or more are
-       banded anew by all features they have, not just by the drawn ones, and meet the most typical members of these
-       smaller bands, where they share two bands or more with one.
+       banded anew by all features they have, not just by the drawn ones, and meet the most typical members of the
+       `RAREST` smallest of these bands, where they share two bands or more with one.
     Two ids that are alike but are not like the most typical member of a band share what that member lacks, so they
     meet again under the features of this, where the typical member is one of their own kind. Each id meets at most
     one other for each feature it has, so the pairs grow in proportion to the texts however large a band is.
@@ -158,7 +166,7 @@ def feature_components(
     if split.isEmpty():
         return labels
     often = here.join(split, "band", "left_semi").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 2)
-    again = _hubs(every_feature(checkpointed(often.select("id"))))
+    again = _hubs(every_feature(checkpointed(often.select("id"))), RAREST)
     pairs = again.where(F.col("id") != F.col("hub")).groupBy(F.col("id").alias("src"), F.col("hub").alias("dst")).agg(F.count("*").alias("n"))
     more = apart(pairs.where(F.col("n") > 1).drop("n").join(spokes, ["src", "dst"], "left_anti"), "src", "dst")
     links = checkpointed(links.unionByName(confirm(checkpointed(more))))

@@ -76,15 +76,36 @@ def fresh(name: str, rows: DataFrame) -> str:
 
 
 def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows whose ``column`` (a long) is not in ``keys``; only rows in a key's hash bucket are shuffled."""
+    """The rows whose ``column`` (a long) is not in ``keys``; only rows that may be are shuffled."""
     keys = checkpointed(keys.distinct())
-    name = fresh("bucket", rows)
-    own = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int") == F.col(name)
-    wanted = F.broadcast(keys.select(F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int").alias(name)).distinct())
-    near, rest = rows.join(wanted, own, "left_semi"), rows.join(wanted, own, "left_anti")
+    near, rest = parted(rows, F.col(column), keys, column)
     return near.join(keys, column, "left_anti").unionByName(rest)
 
 
+#: Bits of the bitmaps that tell which keys there are, and bits of a word.
+BITS, WORD = 1 << 27, 64
+
+
+def _bit(key):
+    """(word, mask) of a key's bit; a null key has the bit of 0."""
+    place = F.pmod(F.xxhash64(F.coalesce(key, F.lit(0).cast("bigint"))), F.lit(BITS))
+    return F.floor(place / WORD).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(WORD)).cast("int"))
+
+
+def parted(rows: DataFrame, key, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` (a long) may be in ``keys``, and those where it is not.
+
+    What is broadcast is a bitmap by hash, in words: at most `BITS` / `WORD` rows of two numbers however many keys
+    there are, 64 MB in memory. With many more keys than bits it spares no row any more, but drops none.
+    """
+    at, bits = fresh("word", rows), fresh("bits", rows)
+    word, mask = _bit(F.col(column))
+    words = F.broadcast(keys.groupBy(word.alias(at)).agg(F.bit_or(mask).alias(bits)))
+    own, bit = _bit(key)
+    hit = (own == F.col(at)) & (F.col(bits).bitwiseAND(bit) != 0)
+    return rows.join(words, hit, "left_semi"), rows.join(words, hit, "left_anti")
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the third of documents whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -107,17 +128,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     return texts.join(F.broadcast(picked), "doc_id")
 
 
-#: Bucket numbers in a bounded broadcast set.
-BUCKETS = 1 << 20
-
-
 def among(rows: DataFrame, column: str, keys: DataFrame, exact: bool = True) -> DataFrame:
-    """The rows whose ``column`` (a long) is in ``keys``: by hash buckets first, then exactly.
-
-    The broadcast set holds at most `BUCKETS` integers however many keys there are. It spares most other rows the
-    shuffle of the exact step and drops none that is needed; with very many keys it merely spares less.
-    """
-    bucket, name = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int"), fresh("bucket", rows)
-    wanted = keys.select(bucket.alias(name)).distinct()
-    near = rows.withColumn(name, bucket).join(F.broadcast(wanted), name, "left_semi").drop(name)
+    """The rows whose ``column`` (a long) is in ``keys``: by `parted` first, then exactly."""
+    near, _ = parted(rows, F.col(column), keys, column)
     return near.join(keys, column, "left_semi") if exact else near

@@ -3,8 +3,8 @@
 A sparse multinomial logistic regression over the presence of word n-grams (1 to 3 words) tells licence families
 and ordinary text apart. It is fitted on the driver from the fixed notices below and from perturbed copies of them
 (words dropped, cut short, set in other words), with an L1 penalty, so its vocabulary is a few hundred n-grams.
-The least probability at which a family is named is calibrated on perturbed copies that were held out: it is the
-one that parts right from wrong family names best. A paragraph (a line, or a window of at most `WINDOW` lines in a
+The least probability at which a family is named is calibrated on wordings that were not fitted (`UNSEEN`, perturbed
+too) and on other ordinary sentences: it is the one that parts right from wrong family names best. A paragraph (a line, or a window of at most `WINDOW` lines in a
 row that all have words, as notices are wrapped) that is a licence rather than ordinary text, but reaches no family's calibrated probability, or that no notice of the family confirms, is `unknown`.
 Confirmation: the share of a notice's 2-word grams that stand in the paragraph, `CONFIRM` at least.
 
@@ -16,7 +16,9 @@ Scoring explodes the words of every whole text, keeps those that open a gram of
 looks the grams up and gathers each line's distinct grams, those that reach into a next line apart: the vocabulary
 bounds a group's size. Windows put the grams of their lines together.
 
-Defined results: null and blank texts have no paragraphs; rows of one doc_id and one text are one; ids may be null.
+Defined results: null and blank texts have no paragraphs; rows of one doc_id and one text are one, rows of one doc_id
+and different texts are read each by itself; ids may be null; of families that are equally likely the one that comes
+first in `NOTICES` is taken; a line of any length is one paragraph; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -115,6 +117,30 @@ ORDINARY = [
     "De la que le et les des pour dans une pas en un du.",
     "El la que de los no se por un para con las una es.",
 ]
+# Other customary wordings, for calibration only; `none` are sentences that no family owns.
+UNSEEN = {
+    "MIT": ["This software is distributed under the terms of the MIT License, see the file LICENSE.", "The code is made available under the MIT license."],
+    "Apache-2.0": ["Distributed under the Apache License, Version 2.0, without warranties of any kind.", "This file is available under the Apache License, Version 2.0."],
+    "GPL": ["You can copy and change it under the GNU General Public License, version 2.", "Distributed under the terms of the GNU General Public License as published by the Free Software Foundation."],
+    "LGPL": ["Distributed under the GNU Lesser General Public License, version 3."],
+    "AGPL": ["You may use it under the GNU Affero General Public License, version 3."],
+    "BSD": ["This code is released under the BSD 3-Clause License, see COPYING.", "Redistribution and use in source and binary forms are permitted provided that the following conditions are met"],
+    "MPL-2.0": ["This file is subject to the terms of the Mozilla Public License, version 2.0."],
+    "CC-BY-NC": ["The photos are licensed under CC BY-NC 4.0.", "The text is available under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA": ["The article is licensed under CC BY-SA 4.0.", "The text is available under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY": ["The figures are licensed under CC BY 4.0."],
+    "CC0": ["The data are released under CC0 1.0, no rights reserved."],
+    "Unlicense": ["The script is released under the Unlicense."],
+    "none": [
+        "The general public may read the terms of the house rules at the door.",
+        "A source of free water was found by the foundation near the town.",
+        "The author of this version has a license to use the public road.",
+        "The conditions in the binary star are not well known to the public.",
+        "All rights of way in the national park are subject to the law of the state.",
+        "The licence of the shop was not renewed under the new law.",
+        "Copyright of the songs is held by the band, all rights reserved.",
+    ],
+}
 _COMMON = frozenset("the of and a to in is this that it for or by with at as be are you may on any an was from use not all".split())
 
 
@@ -125,10 +151,10 @@ def grams_of(text: str) -> list[str]:
     return sorted(out - _COMMON)
 
 
-def _examples(rng: np.random.Generator, copies: int) -> list[tuple[str, str]]:
+def _examples(rng: np.random.Generator, copies: int, wordings: dict[str, list[str]]) -> list[tuple[str, str]]:
     filler = [w for s in ORDINARY for w in re.findall(WORD, s.lower())]
     out = []
-    for family, texts in [*NOTICES.items(), (NONE, ORDINARY)]:
+    for family, texts in wordings.items():
         for text in texts:
             out.append((family, text))
             words = text.split()
@@ -145,7 +171,7 @@ def _examples(rng: np.random.Generator, copies: int) -> list[tuple[str, str]]:
 def model():
     """(grams, classes, weights [gram, class], bias, least probability): fitted once a driver."""
     rng = np.random.default_rng(5)
-    fit, calibrate = _examples(rng, 5), _examples(rng, 3)
+    fit, calibrate = _examples(rng, 5, {**NOTICES, NONE: ORDINARY}), _examples(rng, 6, UNSEEN)
     classes = [*NOTICES, NONE]
     grams = sorted({g for _, t in fit for g in grams_of(t)})
     at = {g: i for i, g in enumerate(grams)}

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnstore.llm.common import BUCKETS, checkpointed, map_columns
+from cairnstore.llm.common import checkpointed, map_columns, parted
 
 LEAST = 200
 ANCHOR = 64
@@ -349,9 +349,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     runs = repeated_windows(docs, least).groupBy("row", "n_bytes").agg(F.collect_list(F.struct("first", "last", "mask")).alias("runs"))
     runs = checkpointed(runs.withColumnRenamed("n_bytes", "run_bytes"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bucket = F.pmod(F.xxhash64("text"), F.lit(BUCKETS)).cast("int")
-    wanted = F.broadcast(runs.select(F.pmod("row", F.lit(BUCKETS)).cast("int").alias("bucket")).distinct())
-    near, rest = rows.join(wanted, bucket == F.col("bucket"), "left_semi"), rows.join(wanted, bucket == F.col("bucket"), "left_anti")
+    near, rest = parted(rows, F.xxhash64("text"), runs, "row")
     same = (F.xxhash64("text") == F.col("row")) & (F.octet_length("text") == F.col("run_bytes"))
     near = near.join(runs, same, "left")
 

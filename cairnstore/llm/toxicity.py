@@ -2,10 +2,11 @@
 
 1. A character language model (trigrams over a-z, a word edge and one class for any other letter) is counted over
    every whole document; the counts are at most 28 cubed rows, whatever the corpus's size.
-2. A token that looks disguised (digits or symbols beside letters, a letter tripled, letters spaced out) becomes
-   a lattice: each written character offers its letter readings, or nothing if it separates or repeats. A Viterbi
-   search finds the reading that is likeliest under channel and language model. Readings are kept in a bounded
-   table, so a token is decoded once a task.
+2. A token that looks disguised (digits or symbols beside letters, a letter tripled, letters of other scripts among
+   a-z, letters spaced out) becomes a lattice: each written character, or group of them, offers its letter readings,
+   nothing if it separates or repeats, or a word's end if it separates. A Viterbi search over its full length finds
+   the reading that is likeliest under channel and language model. Readings of short tokens are kept in a bounded
+   table, so a token is mostly decoded once a task; that changes no reading.
 3. Words of the restored text, and their prefixes, are weighed by the lower confidence bound of their log odds of
    label 1 in the training rows (documents counted, not occurrences); a logistic layer over a document's heaviest
    words gives its score.
@@ -13,7 +14,9 @@
 Labels are learned from a bounded sample (`TRAINING_ROWS`) outside the held-out third.
 
 Defined results: a null or empty text scores as one without heavy words; without training rows of both labels
-every score is 0; null labels are not learned from.
+every score is 0; null labels are not learned from; rows of one doc_id are scored one by one, an id labelled twice
+counts with its larger label; other columns do not matter. A token of any length is decoded whole, in time and memory
+in proportion to it; of two words of equal weight it does not matter which comes first.
 """
 
 from __future__ import annotations
@@ -32,14 +35,24 @@ TRAINING_ROWS = 20_000
 THRESHOLD = 0.7
 #: Documents of label 1 that a feature must stand in.
 SUPPORT = 4
+#: Features that the driver collects, at most: the heaviest.
+FEATURES = 500_000
+#: Tokens that a task remembers, and the longest of them; longer ones are decoded each time.
 TABLE_ROWS = 200_000
-LONGEST = 40
+LONGEST_REMEMBERED = 40
 
 # Letters that digits and symbols commonly stand for.
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "×": "x",
 }
+# Groups of characters that stand for a letter.
+GROUPS = {"|-|": "h", "\\/\\/": "w", "\\/": "v", "/\\": "a", "()": "o", "|)": "d", "|<": "k", "|_|": "u", "vv": "w", "ph": "f"}
+# Letters of other scripts that look like Latin ones.
+LOOKALIKES = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ԁ": "d", "к": "k", "м": "m",
+    "т": "t", "п": "n", "α": "a", "ο": "o", "ν": "v", "ι": "i", "κ": "k", "ρ": "p", "τ": "t", "υ": "u", "η": "n", "ε": "e",
+}
 SEPARATORS = frozenset(".-_*~'`^,:;/\\ ")
 EDGE, OTHER = 0, 27
 _LETTERS = {chr(97 + i): i + 1 for i in range(26)}
@@ -49,10 +62,11 @@ _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}[^\s.\-_*](?=[ .\-_*]|$|\n)){2,}
 _REPEAT = re.compile(r"(.)\1+")
 _RUN = re.compile(r"(.)\1\1")
 _DISGUISED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(.)\1\1", re.S)
+_LATIN, _ALIKE = re.compile("[a-z]"), re.compile(f"[{''.join(LOOKALIKES)}]")
 
 
 def code_of(c: str) -> int:
-    return _LETTERS.get(c, OTHER)
+    return EDGE if c == " " else _LETTERS.get(c, OTHER)
 
 
 # ---- the language model
@@ -103,66 +117,95 @@ def language_model(docs: DataFrame) -> list[float]:
 # ---- the channel
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each written character its (reading, log channel probability); an empty reading drops it."""
-    out = []
-    for k, c in enumerate(token):
-        if c in _LETTERS or c.isalpha():
-            ways = [(c, -0.05)]
-            if k and token[k - 1] == c:
-                ways.append(("", -0.7))
-        elif c in SEPARATORS:
-            ways = [("", -0.1)]
-        else:
-            ways = [(r, -0.7) for r in READINGS.get(c, "")] + [(c, -3.0), ("", -4.0)]
-            if k and token[k - 1] == c:
-                ways.append(("", -0.7))
-        out.append(ways)
-    return out
+def ways_at(token: str, k: int) -> list[tuple[int, str, float]]:
+    """(characters read, reading, log channel probability) from place ``k`` on.
+
+    An empty reading drops a character, a space ends a word.
+    """
+    c = token[k]
+    again = k > 0 and token[k - 1] == c
+    if c in _LETTERS:
+        ways = [(1, c, -0.05)]
+    elif c in LOOKALIKES:
+        ways = [(1, LOOKALIKES[c], -0.3), (1, c, -2.0)]
+    elif c.isalpha():
+        ways = [(1, c, -0.05)]
+    elif c in SEPARATORS:
+        ways, again = [(1, "", -0.1), (1, " ", -0.7)], False
+    else:
+        ways = [(1, r, -0.7) for r in READINGS.get(c, "")] + [(1, c, -3.0), (1, "", -4.0)]
+    if again:
+        ways.append((1, "", -0.7))
+    for group in _GROUPS_AT.get(c, ()):
+        if token.startswith(group, k):
+            ways.append((len(group), GROUPS[group], -0.7))
+    return ways
+
+
+_GROUPS_AT = {c: [g for g in GROUPS if g[0] == c] for c in {g[0] for g in GROUPS}}
+_FARTHEST = max(map(len, GROUPS))
+#: What a dropped character costs: about as much as a letter under the language model.
+DROPPED = -1.5
 
 
 def restore(token: str, model: list[float]) -> str:
-    """The likeliest reading of a token, by Viterbi search over states of the last two letters."""
-    best = {(EDGE, EDGE): (0.0, "")}
-    for ways in lattice(token[:LONGEST]):
-        step: dict = {}
-        for (a, b), (score, text) in best.items():
-            for reading, cost in ways:
-                if reading:
-                    c = code_of(reading)
-                    state, value = (b, c), score + cost + model[(a * 28 + b) * 28 + c]
-                else:
-                    state, value = (a, b), score + cost - 1.5  # what a letter would cost
-                if state not in step or value > step[state][0]:
-                    step[state] = (value, text + reading)
-        best = step
-    ends = [(score + model[(a * 28 + b) * 28 + EDGE], text) for (a, b), (score, text) in best.items()]
-    return max(ends)[1] + token[LONGEST:] if ends else token
+    """The likeliest reading of a token, by Viterbi search over states of the last two letters; it may have spaces.
+
+    A state holds its reading as a chain of letters that it shares with other states, so what no state leads to any
+    more is given up and memory grows with the token only.
+    """
+    ahead: list[dict] = [{(EDGE, EDGE): (0.0, None)}] + [{} for _ in range(_FARTHEST)]
+    for k in range(len(token)):
+        best = ahead.pop(0)
+        ahead.append({})
+        for length, reading, cost in ways_at(token, k):
+            step = ahead[length - 1]
+            if reading:
+                c = code_of(reading)
+                cost += DROPPED * (length - 1)
+                for (a, b), (score, chain) in best.items():
+                    value, state = score + cost + model[(a * 28 + b) * 28 + c], (b, c)
+                    if state not in step or value > step[state][0]:
+                        step[state] = (value, (reading, chain))
+            else:
+                for state, (score, chain) in best.items():
+                    value = score + cost + DROPPED
+                    if state not in step or value > step[state][0]:
+                        step[state] = (value, chain)
+    score, chain = max(
+        ((score + model[(a * 28 + b) * 28 + EDGE], chain) for (a, b), (score, chain) in ahead[0].items()), key=lambda x: x[0]
+    )
+    out = []
+    while chain is not None:
+        reading, chain = chain
+        out.append(reading)
+    return "".join(reversed(out))
 
 
 def restorer(model: list[float]):
-    """A function from a lower-cased token to the readings that are scored: as written, and restored."""
+    """A function from a lower-cased token to the words that are scored: as written, and restored."""
     table: dict[str, tuple[str, ...]] = {}
 
+    def decoded(token: str) -> tuple[str, ...]:
+        plain = token.strip(_TRIM)
+        if plain.isalpha():
+            out, disguised = [plain], [plain] if _RUN.search(plain) else []
+            if not plain.isascii() and _ALIKE.search(plain) and _LATIN.search(plain):
+                disguised = [plain]
+        else:
+            bare = _TAIL.sub("", plain).strip(_TRIM) or plain
+            out = [] if " " in bare else [bare]
+            disguised = [x for x in dict.fromkeys((bare, plain)) if _DISGUISED.search(x)]
+        for x in disguised:
+            out += restore(x, model).split()
+        out += [_REPEAT.sub(r"\1", x) for x in out[1:] or out if _REPEAT.search(x)]
+        return tuple(dict.fromkeys(x for x in out if x))
+
     def readings(token: str) -> tuple[str, ...]:
         known = table.get(token)
         if known is None:
-            plain = token.strip(_TRIM)
-            if plain.isalpha():
-                out = [plain]
-                if _RUN.search(plain):
-                    out.append(restore(plain, model))
-            else:
-                bare = _TAIL.sub("", plain).strip(_TRIM) or plain
-                out = [bare]
-                if _DISGUISED.search(bare):
-                    out.append(restore(bare, model))
-                if bare != plain and _DISGUISED.search(plain):
-                    out.append(restore(plain, model))
-            if _REPEAT.search(out[-1]):
-                out.append(_REPEAT.sub(r"\1", out[-1]))
-            known = tuple(dict.fromkeys(x for x in out if x))
-            if len(token) <= LONGEST:
+            known = decoded(token)
+            if len(token) <= LONGEST_REMEMBERED:
                 if len(table) >= TABLE_ROWS:
                     table.clear()
                 table[token] = known
@@ -178,10 +221,8 @@ def words_of(text: str | None, readings) -> set[str]:
     for token in set(text.split()):
         out.update(readings(token))
     for m in _SPACED.finditer(text):
-        run = re.sub(r"[ .\-_*]", "", m[0])
-        if len(set(run)) > 2:
-            for at in range(0, len(run), LONGEST):
-                out.update(readings(run[at : at + LONGEST]))
+        if len(set(m[0]) - SEPARATORS) > 2:
+            out.update(readings(m[0]))
     return out
 
 
@@ -228,8 +269,10 @@ def _weights(sample: DataFrame, model: list[float]) -> dict[str, float]:
         .where(F.col("n1") >= SUPPORT)
         .select("feature", (odds - 2 * error).alias("w"))
         .where(F.col("w") > 0)
+        .orderBy(F.desc("w"), "feature")
+        .limit(FEATURES)
     )
-    return {r.feature: r.w for r in kept.collect()}  # bounded by the sample: each stands in SUPPORT of its documents
+    return {r.feature: r.w for r in kept.collect()}
 
 
 def _heaviest(text: str | None, readings, weights: dict[str, float], table: dict[str, float]) -> tuple[float, float]:
@@ -239,7 +282,7 @@ def _heaviest(text: str | None, readings, weights: dict[str, float], table: dict
         w = table.get(word)
         if w is None:
             w = max([get(f, 0.0) for f in features_of(word)])
-            if len(word) <= LONGEST:
+            if len(word) <= LONGEST_REMEMBERED:
                 if len(table) >= TABLE_ROWS:
                     table.clear()
                 table[word] = w

@@ -103,6 +103,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    """Rows of one doc_id are linked, whatever their texts."""
+    a, b, c, d = ("alpha beta gamma delta", "one two three four", "red green blue white", "up down left right")
+    rows = [(5, a), (7, a), (7, b), (9, b), (11, c), (11, d), (12, d), (13, c), (20, "alone and by itself"), (20, None)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 11: 11, 12: 11, 13: 11, 20: 20}
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [5, 11, 11, 20, 20]
+
+
 def test_sketches_estimate():
     rng = np.random.default_rng(1)
     both, one, two = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (8000, 1000, 1000))
@@ -142,12 +152,15 @@ def brute_lines(rows, percent=80):
     """(doc_id, line_no) of the lines that go, from 5-character grams at every offset; lines of 5 characters or more."""
     lines = [(i, n, x) for i, t in sorted(rows) for n, x in enumerate(t.split("\n"))]
     sets = [{x[k : k + 5] for k in range(len(x) - 4)} for _, _, x in lines]
-    links = [
-        (a, b)
-        for b in range(len(sets))
-        for a in range(b)
-        if 100 * (both := len(sets[a] & sets[b])) >= percent * (len(sets[a]) + len(sets[b]) - both)
-    ]
+    by_size = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    links = []
+    for n, b in enumerate(by_size):
+        for a in reversed(by_size[:n]):
+            if 100 * len(sets[a]) < percent * len(sets[b]):
+                break
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
     found = components(range(len(lines)), links)
     return {lines[k][:2] for k in found if found[k] != k}
 
@@ -188,6 +201,36 @@ def test_unbroken_lines(spark):
     assert len(want) == 62 and gone_lines(spark, rows) == want
 
 
+def test_a_passage_in_many_lines(spark):
+    """One passage in all lines, with other words of all lengths in front: what is far from the typical line too."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=rng.randint(3, 8)))
+    passage = " ".join(word() for _ in range(40))
+    rows = []
+    for k in range(40):
+        front = " ".join(word() for _ in range(rng.randint(1, 40)))
+        rows.append((3 * k, f"{front} {passage}"))
+        if k % 2:
+            rows.append((3 * k + 1, f"{front} {word()} {passage}"))
+    want = brute_lines(rows)
+    got = gone_lines(spark, rows)
+    assert len(want) > 30 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_lines_of_the_tables_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()[:150]
+    rows = [(r["doc_id"], r["text"]) for r in docs if len(r["text"] or "") < 20_000]
+    lines = {x for _, t in rows for x in t.split("\n") if x.strip()}
+    rows += [(10**6 + k, x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :]) for k, x in enumerate(sorted(lines)[::9])]
+    seen, whole = set(), []
+    for i, t in rows:  # every text of a line once: equal lines have a test of their own
+        own = [x for x in t.split("\n") if x.strip() and not (x in seen or seen.add(x))]
+        if own:
+            whole.append((i, "\n".join(own)))
+    want, got = brute_lines(whole), gone_lines(spark, whole)
+    assert len(want) > 50 and got <= want and len(got) >= 0.97 * len(want)
+
+
 # ---- suffixes
 
 
@@ -267,7 +310,7 @@ def test_top_rows(spark, monkeypatch, block):
 
 
 def test_bounded_lookups(spark, monkeypatch):
-    monkeypatch.setattr(common, "BUCKETS", 4)
+    monkeypatch.setattr(common, "BITS", 4)
     rows = spark.createDataFrame([(i if i % 7 else None,) for i in range(50)], "a long")
     keys = spark.createDataFrame([(3,), (3,), (9,)], "a long")
     assert sorted(r["a"] for r in common.among(rows, "a", keys).collect()) == [3, 9]

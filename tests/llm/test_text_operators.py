@@ -74,17 +74,23 @@ WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def brute_hits(text, items, n=13):
-    words = WORDS.findall((text or "").translate(LOWER))
-    hit, found = set(), set()
+def windows_of(items, n=13):
+    out: dict = {}
     for item, t in items:
         w = WORDS.findall((t or "").translate(LOWER))
         for k in range(max(1, len(w) - n + 1)) if w and item is not None else ():
-            window = w[k : k + n]
-            for at in range(len(words) - len(window) + 1):
-                if words[at : at + len(window)] == window:
-                    hit.update(range(at, at + len(window)))
-                    found.add(item)
+            out.setdefault(tuple(w[k : k + n]), set()).add(item)
+    return out
+
+
+def brute_hits(text, windows):
+    words = WORDS.findall((text or "").translate(LOWER))
+    hit, found = set(), set()
+    for size in {len(w) for w in windows}:
+        for at in range(len(words) - size + 1):
+            if items := windows.get(tuple(words[at : at + size])):
+                hit.update(range(at, at + size))
+                found |= items
     return len(words), len(hit), sorted(map(str, found))
 
 
@@ -95,17 +101,17 @@ def test_hits_equal_brute_force(spark):
     rows = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.scan_documents(docs, rows).collect()}
     for i, t in enumerate(texts):
-        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == brute_hits(t, items)
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == brute_hits(t, windows_of(items))
     first = got[0]["spans"]
     assert [texts[0][s["start"] : s["end"]] for s in first] == ["ONE, two three! one two three"]
 
 
 def test_contamination_on_the_tables(spark):
-    items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    windows = windows_of([tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()])
     texts = {r["doc_id"]: r["text"] for r in documents(spark).collect()}
     some = 0
     for r in queries()["op2_decontaminate"](spark, DATA).collect():
-        n, h, found = brute_hits(texts[r["doc_id"]], items)
+        n, h, found = brute_hits(texts[r["doc_id"]], windows)
         digest = hashlib.sha256(",".join(found).encode()).hexdigest()
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == (n, h, len(found), digest)
         assert r["contaminated"] == (h > 0 and 20 * h >= n)
@@ -117,6 +123,19 @@ def test_contamination_on_the_tables(spark):
     assert decontaminate.decontaminate(empty_docs(spark), empty).count() == 0
 
 
+def test_a_passage_in_a_long_text(spark):
+    """Few hit words among many: `contaminated` goes by their share, `clean_rows` by any hit."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    long = " ".join(f"x{i}" for i in range(2000))
+    docs = spark.createDataFrame([(1, f"{long} {passage} {long}"), (2, long), (3, None), (3, passage)], "doc_id long, text string").withColumn("items", F.lit("x"))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert not decontaminate.decontaminate(docs, items).where("doc_id = 1").first()["contaminated"]
+    kept = decontaminate.clean_rows(docs, items)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"]) == [(2, long)] and kept.count() == 2
+    with pytest.raises(ValueError):
+        decontaminate.benchmark_items(items, limit=10)
+
+
 # ---- classifiers
 
 
@@ -140,15 +159,56 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in rows) >= least * len(rows) > 50
 
 
-def test_labels_of_the_held_out_third_do_not_matter(spark):
+@pytest.mark.parametrize("operator,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_labels_of_the_held_out_third_do_not_matter(spark, operator, label):
     docs, labels = documents(spark), spark.read.parquet(f"{DATA}/labels.parquet")
-    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
-    one, two = (sorted(map(tuple, quality.classify(docs, x).collect())) for x in (labels, turned))
+    turned = labels.withColumn(label, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col(label)).otherwise(F.col(label)))
+    one, two = (sorted(map(tuple, operator.classify(docs, x).collect())) for x in (labels, turned))
     assert one == two
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_blocks_have_no_seams(block):
+    texts = ["", "a", "some words of text, and a-very-long-word" * 5 + "x" * 200 + " end \u3000 ü", " ".join(f"word{i}" for i in range(99))]
+    for t in texts:
+        whole = np.sort(quality.bucket_ids(t))
+        parts = list(quality.bucket_blocks(t, block))
+        assert np.array_equal(whole, np.sort(np.concatenate(parts) if parts else whole))
+        ids, counts = quality.bucket_counts(t)
+        assert np.array_equal(np.repeat(ids, counts), whole)
+
+
+def test_very_long_texts(spark):
+    """Over 2 Mi code points: read whole, without seams or caps."""
+    t = "some plain words of a long text, " * 70_000
+    assert abs(quality.score_text(t, np.arange(quality.BUCKETS, dtype=np.float32) / quality.BUCKETS, 0.0) - quality.score_text(t[: 33 * 3000], np.arange(quality.BUCKETS, dtype=np.float32) / quality.BUCKETS, 0.0)) < 1e-4
+    ids, counts = quality.bucket_counts(t)
+    assert counts.sum() == len(quality.bucket_ids(t)) > 7_000_000
+    rows = spark.createDataFrame([(1, t + "w1 w2 w3"), (2, "<p>" + t)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    assert [r["n_hit"] for r in decontaminate.scan_documents(rows, items).orderBy("doc_id").collect()] == [3, 0]
+    assert len(htmltext.main_text("<article><p>" + t)) == len(t) - 1
+
+
+def good_docs(spark):
+    good, bad = "plain and honest prose about the sea and the town ", "$$ %% ## @@ !! ~~ "
+    rows = [(i, good * 3, "en") for i in range(40)] + [(100 + i, bad * 8, "en") for i in range(40)] + [(500, None, None), (501, "", "x"), (502, good, "x"), (502, good, "x"), (None, bad * 9, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    return docs, labels_of(spark, [(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(40)])
+
+
+def test_good_rows(spark):
+    docs, labels = good_docs(spark)
+    kept = quality.good_rows(docs, labels)
+    scored = {(r["doc_id"], r["predicted"]) for r in quality.classify(docs, labels).collect()}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == docs.columns and ids.count(502) == 2 and set(range(40)) <= set(ids) and not set(ids) & {None, *range(100, 140)}
+    assert {(i, 1) for i in ids} <= scored
+    assert quality.good_rows(docs.limit(0), labels).count() == 0
+
+
 def test_disguises_are_restored():
-    words = "the idiot is a stupid moron and a loser in trash ".split() * 50 + "other plain words of text".split() * 80
+    words = "the idiot is a stupid moron and a loser in trash you are such a thing ".split() * 50 + "other plain words of text".split() * 80
     text = " ".join(words)
     counts = np.ones(28**3)
     codes = [toxicity.EDGE if c == " " else toxicity.code_of(c) for c in text]
@@ -159,7 +219,11 @@ def test_disguises_are_restored():
     readings = toxicity.restorer(model)
     for written, word in [("1d10t", "idiot"), ("m0r0n", "moron"), ("$tup1d", "stupid"), ("l.o.s.e.r", "loser"), ("stuuuupid", "stupid"), ("tr@sh", "trash"), ("idiot!!!", "idiot"), ("(stupid),", "stupid")]:
         assert word in readings(written), (written, readings(written))
+    for written, found in [("ѕtuріd", {"stupid"}), ("you,idiot", {"you", "idiot"}), ("|_|nd3r", set()), ("1d10t" * 100, {"idiot" * 100})]:
+        assert found <= set(readings(written)), (written, readings(written))
     assert "loser" in toxicity.words_of("you l o s e r there", readings)
+    assert {"a", "stupid"} <= toxicity.words_of("such a s t u p i d thing", readings)
+    assert readings("1d10t" * 30_000)[-1] == "idiot" * 30_000
     assert toxicity.words_of(None, readings) == set() == toxicity.words_of(" ", readings)
 
 
@@ -174,6 +238,7 @@ def test_disguises_are_restored():
         ("<nav><a href=1>m</a></nav><article><p>x</p><aside>s</aside><div class='comments'><p>c</p></div><p>y</p></article><footer>f</footer>", "x\ny"),
         ("<article><script>var a='<p>no</p>'</script><p>yes &lt;tag&gt; &#233;&eacute;</p><!-- <p>no</p> --></article>", "yes <tag> éé"),
         ('<article><p title="a > b">quoted</p></article>', "quoted"), ("<article><p>3 < 4 and 5 > 2</p></article>", "3 < 4 and 5 > 2"),
+        ("<article><p>a</p><math>x</math><svg><p>b</p><p>c", "a\nx\nb\nc"),
         ("<article><h1>Head</h1><p>.</p></article><script>unclosed <p>x", "Head\n."), ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
     ],
 )
@@ -181,6 +246,35 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
+PROSE = " ".join(f"word{i}" for i in range(50))
+MENU = "".join(f"<li><a href='{i}'>Item {i}</a></li>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<div class=q><ul>{MENU}</ul></div><div class=zz><h2>Title of it</h2><div>{PROSE}</div><p>{PROSE}</p></div><div><a href=1>Imprint</a> <a href=2>About</a></div>", f"Title of it\n{PROSE}\n{PROSE}"),
+        (f'<article class="post"><div class="share-story"><p>{PROSE}</p></div></article>', PROSE),
+        (f'<article><div class="share"><a href=1>Send</a> <a href=2>Save</a></div><p>{PROSE}</p></article>', PROSE),
+        (f'<article><div class="toc"><ul>{MENU}</ul></div><p>{PROSE}</p></article>', PROSE),
+        (f"<article><p>{PROSE}</p><ul>{MENU}</ul><p>{PROSE}</p></article>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><section class='comments'><p>{PROSE}</p></section></article>", PROSE),
+        (f"<div class=x><p>{PROSE}</p><p><a href=1>{PROSE}</a></p></div>", PROSE),
+    ],
+)
+def test_blocks_are_judged_by_words_and_links(html, text):
+    assert htmltext.main_text(html) == text
+
+
+def test_the_tree_reads_more_than_the_region():
+    def used(node):
+        return {node[0]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    assert {0, 1, 2} < used(htmltext.tree())
+    table = [line.split() for line in htmltext.LABELLED.strip().splitlines()]
+    assert sum(len({r[-1] for r in table if r[0] == region}) == 2 for region in ("1", "0", "-1")) == 3
+
+
 def test_articles_of_the_tables(spark):
     import html as library
 
@@ -215,6 +309,15 @@ def test_wrapped_licences(spark):
     assert got == {(0, 0, "GPL"), (1, 0, "BSD"), (2, 2, "GPL"), (2, 7, "MIT")}
 
 
+def test_unseen_wordings(spark):
+    rows = [(k, f, t) for k, (f, t) in enumerate((f, t) for f, ts in licences.UNSEEN.items() for t in ts)]
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in licences.scan(docs).collect()}
+    named = [(f, got.get(k)) for k, f, _ in rows]
+    assert all(g in (f, "unknown") for f, g in named if f != "none") and all(g in (None, "unknown") for f, g in named if f == "none")
+    assert sum(f == g for f, g in named) >= 12
+
+
 def test_licence_lines_of_the_tables(spark):
     known = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Released under the MIT License.": "MIT"}
     data = DATA.replace("0.001", "0.01")
