@@ -171,6 +171,21 @@ LABELLED = """
  1 40 0.0  30 0.0   8 0.0  1
  1 25 0.3  50 0.0  40 0.0  1
  1  6 0.0  12 0.0   7 0.0  1
+ 1  1 0.0   1 1.0   1 1.0  1
+ 1  2 0.0   0 0.0  60 0.0  1
+ 1  3 0.0  80 0.0   0 0.0  1
+ 1  4 0.0   4 0.0   4 0.0  1
+ 1  7 0.0   2 1.0  50 0.0  1
+ 1  9 0.0  70 0.0   3 1.0  1
+ 1 11 0.1   3 1.0   2 1.0  1
+ 1 15 0.0   0 0.0   0 0.0  1
+ 1 20 0.2   1 1.0   1 1.0  1
+ 1 24 0.0   2 1.0   3 1.0  1
+ 1 45 0.0   1 1.0   2 1.0  1
+ 1 55 0.3   2 1.0   2 1.0  1
+ 1 95 0.0   3 1.0   1 1.0  1
+ 1  2 0.0   2 0.0   2 1.0  1
+ 1  1 0.0   5 1.0  90 0.0  1
  1  8 1.0  70 0.0  66 0.0  1
  1  2 1.0  44 0.0  31 0.0  1
  1 12 0.5   0 0.0  20 0.1  1
@@ -220,6 +235,10 @@ LABELLED = """
 -1 22 0.0  31 0.0  26 0.1  1
 -1  3 1.0   2 1.0   3 1.0  0
 -1  2 0.0  40 0.0   2 1.0  0
+-1  2 1.0   0 0.0  50 0.0  0
+-1  3 1.0  20 0.0  40 0.0  0
+-1  4 0.8  60 0.0  25 0.0  0
+-1  1 1.0   6 0.0  80 0.0  0
 -1  4 0.5  60 0.0   5 0.6  0
 -1 10 0.0  55 0.0  45 0.0  0
 -1 24 0.9   8 1.0  12 0.9  0
@@ -228,6 +247,8 @@ LABELLED = """
 -1 12 0.6   6 0.0   1 1.0  0
  0  1 1.0   0 0.0   1 1.0  0
  0  2 1.0   2 1.0   3 1.0  0
+ 0  3 1.0   0 0.0  45 0.0  0
+ 0  4 1.0  55 0.0  30 0.0  0
  0  3 0.7   1 1.0   2 1.0  0
  0  5 0.0   1 1.0   2 1.0  0
  0  4 0.0   3 0.8   0 0.0  0

@@ -38,9 +38,13 @@ def documents(spark):
 # ---- encoding
 
 
-def test_pieces_equal_the_library(spark):
+@pytest.mark.parametrize("common", [sentencepieces.COMMON_ROWS, 40])
+def test_pieces_equal_the_library(spark, monkeypatch, common):
+    """Also with a broadcast table that holds few chunks, so that most are segmented where they stand."""
     import sentencepiece
 
+    monkeypatch.setattr(sentencepieces, "COMMON_ROWS", common)
+    monkeypatch.setattr(sentencepieces, "COUNTED", 1000)
     sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     docs = documents(spark).select("doc_id", "text").unionByName(odd_docs(spark).select("doc_id", "text"))
     texts = sorted((t or "" for _, t in (tuple(r) for r in docs.collect())))
@@ -49,6 +53,13 @@ def test_pieces_equal_the_library(spark):
     assert sorted((r["n_tokens"], bytes(r["piece_ids"]), r["decoded"]) for r in got) == want
 
 
+def test_the_table_has_the_frequent_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "COMMON_ROWS", 3)
+    docs = spark.createDataFrame([(1, "a b b b c c c c d d d d d e f"), (2, None)], "doc_id long, text string")
+    table = sentencepieces.chunk_table(docs.coalesce(1), piece_model()).collect()
+    assert sorted(r["chunk"] for r in table) == ["▁b", "▁c", "▁d"]
+
+
 def test_piece_digests(spark):
     got = {r["doc_id"]: r for r in sentencepieces.digests(sentencepieces.encode_decode(odd_docs(spark), piece_model())).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 2
