@@ -35,6 +35,7 @@ def compress(data: bytes, mode: str, dictionary: bytes | None = None) -> Frame:
     return Frame("xz", min((_xz(data, lc, pb) for lc, pb in tries), key=len))
 
 
+# Fixed values in here: the pairs of literal-context and position bits that are tried.
 def _parameters(data: bytes) -> list[tuple[int, int]]:
     """Literal-context and position bits to try in full: tuned on a strided sample for data of 256 KiB and more."""
     if len(data) < 256 << 10:
@@ -80,10 +81,32 @@ def decompress(frame: Frame, most: int, dictionary: bytes | None = None) -> byte
     return out
 
 
+def pays(dictionary: bytes | None, groups: list[bytes], mode: str) -> bool:
+    """Whether groups shrink by more than the dictionary takes."""
+    if not dictionary:
+        return False
+    plain = sum(len(compress(g, mode).payload) for g in groups)
+    known = sum(len(compress(g, mode, dictionary).payload) for g in groups)
+    return plain - known > len(dictionary)
+
+
+def store_raw(codec: str, size: int, gate: int, entropy: float, limit: float = 7.95) -> bool:
+    """Whether a chunk is kept as it is: what is empty, and by codec what the gate or its entropy show to be random."""
+    if size == 0:
+        return True
+    if codec == "zstd":
+        return False
+    return entropy > limit and (codec == "cm" or gate >= size)
+
+
 def gate_size(data: bytes) -> int:
-    """A fast codec's size, to compare candidates by."""
-    import zstandard
+    """A fast codec's size, to compare candidates by; by entropy where that codec is not there."""
+    try:
+        import zstandard
+    except ImportError:
+        from cairnstore.functions.transforms import entropy
 
+        return int(entropy(data) * len(data) / 8)
     return len(zstandard.ZstdCompressor(level=3).compress(data))
 
 

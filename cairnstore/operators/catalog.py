@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,20 @@ def drop_duplicate_names(rows: DataFrame, name: str, order: list[str]) -> DataFr
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def clean_path(path: Column) -> Column:
+    """Without leading `./`s, repeated slashes and a trailing slash: `./a`, `a` and `a/` are one."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"^(\./)+", ""), "/+", "/"), "(?<=.)/$", "")
+
+
+def resolve_links(rows: DataFrame, targets: DataFrame, link: str, name: str, keep: list[str]) -> DataFrame:
+    """``rows`` with ``keep`` of the target that their link names; a row without a target keeps its own."""
+    found = targets.select(F.col(name).alias("_target"), *[F.col(c).alias(f"_{c}") for c in keep])
+    out = rows.join(found, F.col(link) == F.col("_target"), "left")
+    for c in keep:
+        out = out.withColumn(c, F.when(F.col("_target").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)))
+    return out.drop("_target", *[f"_{c}" for c in keep])
+
+
 def hard_links(rows: DataFrame, identity: list[str], order: str, name: str) -> DataFrame:
     """``link`` to the first name of the same identity; null on the first itself."""
     first = F.first_value(name).over(Window.partitionBy(*identity).orderBy(order))
@@ -217,6 +233,39 @@ def required_version(entries: DataFrame) -> DataFrame:
     return entries.agg(F.coalesce(F.max(need), F.lit(8)).alias("version"))
 
 
+def scan_range(chunks: DataFrame, start: str, size: str) -> DataFrame:
+    """How far a region must be read for these chunks."""
+    return chunks.agg(F.coalesce(F.max(F.col(start) + F.col(size)), F.lit(0)).alias("scan_end"))
+
+
+def some_names(rows: DataFrame, name: str, n: int = 3) -> str:
+    """The first names and how many there are in all, for a message; empty for no rows."""
+    total = rows.count()
+    first = [r[0] for r in rows.select(name).orderBy(name).limit(n).collect()]
+    return ", ".join(first) + (f" and {total} in all" if total > n else "")
+
+
+def history_prefix(rows: DataFrame, order: str, size: str, least: int) -> DataFrame:
+    """The first rows whose sizes reach ``least``, with the one that reaches it."""
+    ran = running_totals(rows, [], order, size, "_ran")
+    return ran.where(F.col("_ran") - F.col(size) < least).drop("_ran")
+
+
+def tree_hash(rows: DataFrame, number: str, digest: str, fan: int = 4096) -> str:
+    """A hash over all digests in the order of their numbers 0.., as a tree of ``fan`` children a node.
+
+    No task sees more than ``fan`` digests. The hash of no rows is that of an empty string.
+    """
+    level = rows.select(F.col(number).alias("n"), F.col(digest).alias("d"))
+    while True:
+        parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "d"))), lambda x: x["d"]), "")
+        level = level.groupBy(F.floor(F.col("n") / fan).alias("n")).agg(F.sha2(parts.cast("binary"), 256).alias("d"))
+        level = checkpointed(level)
+        found = level.limit(2).collect()
+        if len(found) < 2:
+            return found[0]["d"] if found else sha256(b"").hexdigest()
+
+
 # ---- verification
 
 

@@ -219,13 +219,31 @@ def hardlink_groups(spark, sf_dir):
     return C.hard_links(rows, ["o_custkey"], "o_orderkey", "o_orderkey").select("o_orderkey", "link")
 
 
-@query("""SELECT a.o_orderkey AS entry, b.o_orderkey AS target, b.o_totalprice AS price FROM orders a
-JOIN orders b ON b.o_orderkey = a.o_orderkey - a.o_orderkey % 2""")
+@query("""SELECT a.o_orderkey AS entry, coalesce(b.o_totalprice, a.o_totalprice) AS price FROM orders a
+LEFT JOIN orders b ON b.o_orderkey = a.o_orderkey - a.o_orderkey % 3 AND b.o_orderkey % 2 = 0""")
 def hardlink_resolve(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    target = rows.select(F.col("o_orderkey").alias("target"), F.col("o_totalprice").alias("price"))
-    linked = rows.select(F.col("o_orderkey").alias("entry"), (F.col("o_orderkey") - F.col("o_orderkey") % 2).alias("target"))
-    return linked.join(target, "target").select("entry", "target", "price")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry"), F.col("o_totalprice").alias("price"))
+    linked = rows.withColumn("link", F.col("entry") - F.col("entry") % 3)
+    return C.resolve_links(linked, rows.where("entry % 2 = 0"), "link", "entry", ["price"]).select("entry", "price")
+
+
+@query("SELECT CAST(max(l_orderkey + CAST(l_quantity AS BIGINT)) AS BIGINT) AS scan_end FROM lineitem WHERE l_returnflag = 'R'")
+def scan_range(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return C.scan_range(rows.withColumn("size", F.col("l_quantity").cast("long")), "l_orderkey", "size")
+
+
+@query(f"""SELECT entry_id, size FROM (SELECT entry_id, size, sum(size) OVER (ORDER BY entry_id) - size AS before FROM {DOCS}) WHERE before < 100000""")
+def history_prefix(spark, sf_dir):
+    return C.history_prefix(_docs(spark, sf_dir).select("entry_id", "size"), "entry_id", "size", 100_000).select("entry_id", "size")
+
+
+@query(f"""SELECT name, ext, size, row_number() OVER (ORDER BY ext, name) - 1 AS place FROM
+  (SELECT name, lower(regexp_extract(name, '([.][^./]*)$', 1)) AS ext, size FROM {DOCS})""")
+def wide_order(spark, sf_dir):
+    """Numbers of rows that carry their whole contents through the sort."""
+    rows = _docs(spark, sf_dir).withColumn("ext", S.extension(F.col("name")))
+    return C.dense_ids(rows, ["ext", "name"], "place").select("name", "ext", F.octet_length("content").cast("long").alias("size"), "place")
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -283,8 +301,7 @@ INPUTS = ["./dup", "dup", "dup/", "a//b", "a/b", "c"]
 
 @query("SELECT * FROM (VALUES ('dup', 0), ('a/b', 3), ('c', 5)) t(path, ord)")
 def distinct_inputs(spark, sf_dir):
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"^(\./)+", ""), "/+", "/"), "(?<=.)/$", "")
-    return _literal(spark, "path", INPUTS).select(clean.alias("path"), "ord").groupBy("path").agg(F.min("ord").alias("ord"))
+    return _literal(spark, "path", INPUTS).select(C.clean_path(F.col("path")).alias("path"), "ord").groupBy("path").agg(F.min("ord").alias("ord"))
 
 
 ENTROPY = """(SELECT doc_id, greatest(log2(sum(c)) - sum(c * log2(c)) / sum(c), 0) AS entropy, sum(c) AS n FROM

@@ -2,7 +2,7 @@
 
 An archive is a folder of versions, each with the tables `entries`, `chunks`, `blobs` and `archive`; the newest of
 the files `_CURRENT-...` names the version that is published, so readers see a whole archive or the one before it. Listing and
-profiling never read `blobs`; extraction reads only the groups that the asked entries need.
+profiling read no contents; extraction reads only the groups that the asked entries need.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ def _fields(entries: DataFrame) -> DataFrame:
 
 
 def chunk_rows(entries: DataFrame, mode: str, least: int, most: int, bits: int) -> DataFrame:
-    """(entry_id, pos, n_bytes, hash, xform, body) of every chunk, in the order of each content."""
+    """(entry_id, file_xform, pos, n_bytes, hash, xform, body) of every chunk, in the order of each content.
+
+    A raster is turned by rows as a whole if that makes it smaller, before it is cut.
+    """
     codec = S.MODES[mode][1]
 
     def run(batches):
@@ -46,29 +49,28 @@ def chunk_rows(entries: DataFrame, mode: str, least: int, most: int, bits: int)
         for b in batches:
             for entry, content in zip(b.column("entry_id").to_pylist(), b.column("content").to_pylist(), strict=True):
                 data = content or b""
-                head = transforms.sniff(data[:512]) if codec == "zstd" else -1
+                whole, data = transforms.raster_choice(data, codecs.gate_size)
+                head = transforms.sniff(data[:512]) if codec == "zstd" and not whole else -1
                 rows = [(pos, data[s : s + n]) for pos, (s, n) in enumerate(chunking.cuts(data, least, most, bits))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([entry] * len(rows), pa.int64()),
+                        pa.array([whole] * len(rows), pa.int32()),
                         pa.array([p for p, _ in rows], pa.int32()),
                         pa.array([len(x) for _, x in rows], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest()[:32] for _, x in rows], pa.string()),
                         pa.array([head] * len(rows), pa.int32()),
                         pa.array([x for _, x in rows], pa.binary()),
                     ],
-                    names=["entry_id", "pos", "n_bytes", "hash", "xform", "body"],
+                    names=["entry_id", "file_xform", "pos", "n_bytes", "hash", "xform", "body"],
                 )
 
     files = entries.where(F.col("content").isNotNull()).select("entry_id", "content")
-    return files.mapInArrow(run, "entry_id bigint, pos int, n_bytes bigint, hash string, xform int, body binary")
+    return files.mapInArrow(run, "entry_id bigint, file_xform int, pos int, n_bytes bigint, hash string, xform int, body binary")
 
 
 def choose(data: bytes, codec: str, sniffed: int) -> tuple[int, bytes, bool]:
-    """(transform, transformed bytes, stored raw): the smallest candidate by the gate; of equals the first.
-
-    A chunk is stored raw if the gate cannot shrink it and its bytes are close to random.
-    """
+    """(transform, transformed bytes, stored raw): the smallest candidate by the gate; of equals the first."""
     best = (sniffed if sniffed > 0 else 0, transforms.apply(sniffed, data) if sniffed > 0 else data)
     size = codecs.gate_size(best[1])
     if len(data) >= 4:
@@ -77,7 +79,7 @@ def choose(data: bytes, codec: str, sniffed: int) -> tuple[int, bytes, bool]:
             n = codecs.gate_size(tried)
             if n < min(size, len(data)):
                 best, size = (code, tried), n
-    stored = not data or size >= len(data) and transforms.entropy(data) > 7.95
+    stored = codecs.store_raw(codec, len(data), size, transforms.entropy(data))
     return (0, data, True) if stored else (*best, False)
 
 
@@ -102,7 +104,8 @@ def pack(entries: DataFrame, path: str, mode: str = "best", least: int = chunkin
 def _write_version(entries: DataFrame, version: str, mode: str, least: int, most: int, bits: int) -> None:
     spark = entries.sparkSession
     codec = S.MODES[mode][1]
-    kept = _fields(C.drop_duplicate_names(entries, "name", ["entry_id"]))
+    kept = _fields(entries).withColumn("_kind", F.when(F.col("kind").isin("file", "hardlink"), 0).when(F.col("kind") == "dir", 1).otherwise(2))
+    kept = C.drop_duplicate_names(kept, "name", ["_kind", "entry_id"]).drop("_kind")
     work = f"{version}/_work"
     with small_batches(spark, 16):
         chunk_rows(kept, mode, least, most, bits).write.parquet(f"{work}/parts")
@@ -135,32 +138,55 @@ def _write_version(entries: DataFrame, version: str, mode: str, least: int, most
     if not wanted == got[0] == got[1]:
         raise RuntimeError(f"{wanted} chunks, but {got[0]} were written, numbered up to {got[1]}")
 
+    dictionary = _dictionary(bodies, mode)
+
     def frames(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("chunk_id")
         data = b"".join(pdf["body"])
-        frame = codecs.Frame("raw", data) if pdf["stored"].iloc[0] else codecs.compress(data, mode)
-        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "stored": [bool(pdf["stored"].iloc[0])], "codec": [frame.codec], "raw_bytes": [len(data)], "payload": [frame.payload]})
+        frame = codecs.Frame("raw", data) if pdf["stored"].iloc[0] else codecs.compress(data, mode, dictionary)
+        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "stored": [bool(pdf["stored"].iloc[0])], "codec": [frame.codec], "raw_bytes": [len(data)], "frame_bytes": [len(frame.payload)], "payload": [frame.payload]})
 
-    blobs = bodies.select("group_id", "stored", "chunk_id", "body").groupBy("group_id", "stored").applyInPandas(frames, "group_id bigint, stored boolean, codec string, raw_bytes bigint, payload binary")
+    blobs = bodies.select("group_id", "stored", "chunk_id", "body").groupBy("group_id", "stored").applyInPandas(frames, "group_id bigint, stored boolean, codec string, raw_bytes bigint, frame_bytes bigint, payload binary")
     blobs.repartitionByRange("group_id").write.parquet(f"{version}/blobs")
     lists = C.chunk_lists(refs.join(chunks.select("hash", "chunk_id"), "hash"))
-    sizes = refs.groupBy("entry_id").agg(F.sum("n_bytes").alias("size"))
+    sizes = parts.groupBy("entry_id").agg(F.sum("n_bytes").alias("size"), F.max("file_xform").alias("file_xform"))
+    rows = kept.drop("content").join(lists, "entry_id", "left").join(sizes, "entry_id", "left")
     # A hard link has the chunks of the name that it points to.
-    first = kept.where(F.col("kind") != "hardlink").select(F.col("name").alias("link"), F.col("entry_id").alias("_of"))
-    rows = kept.drop("content").join(first.withColumn("kind", F.lit("hardlink")), ["link", "kind"], "left")
-    rows = rows.withColumn("_of", F.coalesce("_of", "entry_id"))
-    parts_of = lists.join(sizes, "entry_id").withColumnRenamed("entry_id", "_of")
-    rows = rows.join(parts_of, "_of", "left").drop("_of")
+    links, plain = rows.where("kind = 'hardlink'"), rows.where("kind <> 'hardlink'")
+    targets = plain.where("kind = 'file'").select("name", "chunk_ids", "size", "file_xform")
+    rows = plain.unionByName(C.resolve_links(links, targets, "link", "name", ["chunk_ids", "size", "file_xform"]))
     rows = rows.withColumn("size", F.coalesce("size", F.lit(0))).withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<bigint>")))
-    rows.write.parquet(f"{version}/entries")
-    totals = chunks.agg(F.count("*").alias("n_chunks")).crossJoin(spark.read.parquet(f"{version}/entries").agg(F.count("*").alias("n_entries"), F.sum("size").alias("total_bytes")))
-    totals.withColumn("mode", F.lit(mode)).write.parquet(f"{version}/archive")
+    rows.withColumn("file_xform", F.coalesce("file_xform", F.lit(0))).write.parquet(f"{version}/entries")
+    written = spark.read.parquet(f"{version}/entries")
+    numbers = F.lit(mode).alias("mode"), F.lit(C.tree_hash(chunks, "chunk_id", "hash")).alias("tree_hash"), F.lit(dictionary).cast("binary").alias("dictionary")
+    totals = chunks.agg(F.count("*").alias("n_chunks")).crossJoin(written.agg(F.count("*").alias("n_entries"), F.sum("size").alias("total_bytes")))
+    totals.crossJoin(C.required_version(written)).select("*", *numbers).write.parquet(f"{version}/archive")
     where, fs, jvm = _files(spark, work)
     fs.delete(where, True)
 
 
+#: Chunks that a dictionary is trained on: of these sizes, so many and so many bytes at most.
+SAMPLE_SIZES, SAMPLE_ROWS, SAMPLE_BYTES = (200, 128 << 10), 2000, 64 << 20
+
+
+def _dictionary(bodies: DataFrame, mode: str) -> bytes | None:
+    """A dictionary for the groups of a zstd mode, if it pays on the sample that it was trained on."""
+    if S.MODES[mode][1] != "zstd" or mode == "fast":
+        return None
+    fitting = bodies.where(~F.col("stored") & F.col("n_bytes").between(*SAMPLE_SIZES))
+    samples, held = [], 0
+    for r in fitting.select("chunk_id", "body").orderBy("chunk_id").limit(SAMPLE_ROWS).toLocalIterator():
+        held += len(r["body"])
+        if held > SAMPLE_BYTES:
+            break
+        samples.append(bytes(r["body"]))
+    found = codecs.train_dictionary(samples)
+    groups = [b"".join(samples[k : k + GROUP_CHUNKS]) for k in range(0, len(samples), GROUP_CHUNKS)]
+    return found if codecs.pays(found, groups, mode) else None
+
+
 def _files(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -220,7 +246,10 @@ class Archive:
         return C.list_long(entries) if long else entries.select("name", "size", "kind").orderBy("name")
 
     def info(self) -> DataFrame:
-        return C.archive_profile(self.table("chunks")).crossJoin(self.table("archive"))
+        """One row: shares of stored and compressed chunks, counts, version, and the bytes of frames and dictionary."""
+        frames = self.table("blobs").agg(F.coalesce(F.sum("frame_bytes"), F.lit(0)).alias("frame_bytes"))
+        archive = self.table("archive").withColumn("dictionary_bytes", F.coalesce(F.octet_length("dictionary"), F.lit(0))).drop("dictionary")
+        return C.archive_profile(self.table("chunks")).crossJoin(archive).crossJoin(frames)
 
     def _bodies(self, chunks: DataFrame | None = None) -> DataFrame:
         """(chunk_id, body, intact) of the wanted chunks, or of all; whole groups are decompressed, others are not read.
@@ -236,6 +265,9 @@ class Archive:
         members = wanted.groupBy("group_id", "stored").agg(F.collect_list(F.struct("chunk_id", "region_offset", "n_bytes", "xform", "hash")).alias("members"))
         groups = members.join(blobs, ["group_id", "stored"], "left")
 
+        dictionary = self.table("archive").first()["dictionary"]
+        dictionary = bytes(dictionary) if dictionary is not None else None
+
         def run(batches):
             import hashlib
 
@@ -246,7 +278,7 @@ class Archive:
                     codec, payload, raw, members = (b.column(c)[k].as_py() for c in ("codec", "payload", "raw_bytes", "members"))
                     out: list[list] = [[], [], []]
                     try:
-                        data = codecs.decompress(codecs.Frame(codec, payload), raw) if codec is not None else b""
+                        data = codecs.decompress(codecs.Frame(codec, payload), raw, dictionary) if codec is not None else b""
                     except ValueError:
                         data = b""
                     for m in members:
@@ -281,7 +313,19 @@ class Archive:
         content = F.when(is_file, F.coalesce("content", F.lit(b"")))
         short = F.raise_error(F.concat(F.lit("incomplete: "), "name")).cast("binary")
         content = F.when(is_file & (F.octet_length(content) != F.col("size")), short).otherwise(content)
-        return whole.select("name", "kind", "mode", "mtime_ns", "link", content.alias("content"))
+        columns = ["name", "kind", "mode", "mtime_ns", "link", "content"]
+        whole = whole.withColumn("content", content)
+
+        def back(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                pairs = zip(b.column("file_xform").to_pylist(), b.column("content").to_pylist(), strict=True)
+                turned = pa.array([transforms.apply(x, c, True) for x, c in pairs], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns[:-1]], turned], names=columns)
+
+        plain, turned = whole.where("file_xform = 0").select(*columns), whole.where("file_xform <> 0").select(*columns, "file_xform")
+        return plain.unionByName(turned.mapInArrow(back, plain.schema))
 
     def unmatched(self, asks: list[str]) -> DataFrame:
         return C.unmatched(self.table("entries"), self.spark.createDataFrame([(a,) for a in asks], "ask string"))
@@ -299,6 +343,7 @@ class Archive:
             ("group", C.dangling(chunks, blobs, "group_id", "stored").select("chunk_id")),
             ("content", self._bodies().where(~F.col("intact")).select("chunk_id")),
             ("count", self.table("archive").join(chunks.agg(F.count("*").alias("got")), F.col("got") != F.col("n_chunks")).select(F.col("got").cast("long"))),
+            ("stream", self.table("archive").where(F.col("tree_hash") != C.tree_hash(chunks, "chunk_id", "hash")).select(F.lit(0).cast("long"))),
             ("name", entries.where(~S.safe_name(F.col("name"))).select("entry_id")),
         ]
         out = None
@@ -314,8 +359,7 @@ def unpack(spark: SparkSession, path: str, target: str, asks: list[str] | None =
 
     archive = Archive(spark, path)
     names = archive.entries(asks).select("name", "kind", "mode", "mtime_ns", "link")
-    bad = names.where(~S.safe_name(F.col("name"))).limit(1).collect()
-    if bad:
-        raise ValueError(f"unsafe name {bad[0]['name']!r}")
+    if bad := C.some_names(names.where(~S.safe_name(F.col("name"))), "name"):
+        raise ValueError(f"unsafe names: {bad}")
     with small_batches(spark, 16):
         return write_entries(archive.extract(asks, verify), target, names)

@@ -66,13 +66,13 @@ def move_blobs_aside(spark, version, keep):
 def test_lost_blobs_are_noticed(spark, contents, tmp_path):
     """Each blob in turn: verify names its chunks, extraction fails, with or without verification."""
     rng = random.Random(9)
-    mixed = contents | {f"r{k}": rng.randbytes(9000) for k in range(12)}
-    first = store.pack(entries_of(spark, mixed), str(tmp_path / "first"), "fast", 256, 4096, 10)
+    mixed = contents | {f"r{k}": rng.randbytes(20_000) for k in range(6)}
+    first = store.pack(entries_of(spark, mixed), str(tmp_path / "first"), "max", 8192, 16_384, 13)
     groups = [(r["group_id"], r["stored"]) for r in spark.read.parquet(f"{first}/blobs").collect()]
     assert len({s for _, s in groups}) == 2
     for n, (group, stored) in enumerate(groups[:4]):
         path = str(tmp_path / f"a{n}")
-        version = store.pack(entries_of(spark, mixed), path, "fast", 256, 4096, 10)
+        version = store.pack(entries_of(spark, mixed), path, "max", 8192, 16_384, 13)
         move_blobs_aside(spark, version, (F.col("group_id") != group) | (F.col("stored") != stored))
         archive = store.Archive(spark, path)
         wrong = {r["what"] for r in archive.verify().collect()}
@@ -153,6 +153,78 @@ def test_trees_round_trip(spark, tmp_path, seed):
     assert store.Archive(spark, str(tmp_path / "archive")).verify().count() == 0
 
 
+def bmp(width, height, rng):
+    """An uncompressed 24-bit bitmap of a soft gradient."""
+    import struct
+
+    used = (width * 3 + 3) // 4 * 4
+    rows = b"".join(bytes((x * 2 + y + c * 9 + rng.randrange(3)) % 256 for x in range(width) for c in range(3)).ljust(used, b"\0") for y in range(height))
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 0, 54, 40, width, height, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+
+
+def test_rasters_are_turned_by_rows(spark, tmp_path):
+    rng = random.Random(6)
+    contents = {"a.bmp": bmp(67, 41, rng), "b.bmp": bmp(30, 90, rng), "c.txt": b"no raster"}
+    path = str(tmp_path / "archive")
+    store.pack(entries_of(spark, contents), path, "best", 256, 4096, 10)
+    archive = store.Archive(spark, path)
+    assert {r["name"]: r["file_xform"] > 0 for r in archive.table("entries").collect()} == {"a.bmp": True, "b.bmp": True, "c.txt": False}
+    assert archive.info().first()["version"] == 12
+    assert {r["name"]: bytes(r["content"]) for r in archive.extract(verify=True).collect()} == contents
+
+
+def test_dictionaries(spark, tmp_path):
+    rng = random.Random(7)
+    phrases = ["".join(rng.choices("abcdefgh ", k=60)) for _ in range(400)]
+    contents = {f"f{k}": " ".join(rng.choices(phrases, k=12)).encode() for k in range(300)}
+    path = str(tmp_path / "archive")
+    store.pack(entries_of(spark, contents), path, "best", 256, 4096, 10)
+    archive = store.Archive(spark, path)
+    assert {r["name"]: bytes(r["content"]) for r in archive.extract(verify=True).collect()} == contents
+    from cairnstore.functions import codecs
+
+    samples = [v for v in contents.values()]
+    dictionary = codecs.train_dictionary(samples)
+    assert dictionary and codecs.pays(dictionary, [s + b"!" for s in samples], "best") and not codecs.pays(dictionary, samples[:2], "best")
+    frame = codecs.compress(samples[0], "best", dictionary)
+    assert frame.codec == "zstd+dict" and codecs.decompress(frame, len(samples[0]), dictionary) == samples[0]
+
+
+def test_tree_hash(spark):
+    rows = spark.createDataFrame([(i, f"{i:04x}") for i in range(50)], "n long, d string").repartition(5)
+    whole = C.tree_hash(rows, "n", "d", 8)
+    assert whole == C.tree_hash(rows.orderBy(F.rand(3)), "n", "d", 8)
+    assert whole != C.tree_hash(rows.withColumn("d", F.when(F.col("n") == 17, "x").otherwise(F.col("d"))), "n", "d", 8)
+    assert len(C.tree_hash(rows.limit(0), "n", "d")) == 64
+    assert C.some_names(rows.withColumn("d", F.col("d")), "d") == "0000, 0001, 0002 and 50 in all"
+
+
+def test_links_without_a_target_keep_their_own(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "gone", 2), ("c", None, 3)], "name string, link string, n long")
+    targets = spark.createDataFrame([("x", 9)], "name string, n long")
+    assert {r["name"]: r["n"] for r in C.resolve_links(rows, targets, "link", "name", ["n"]).collect()} == {"a": 9, "b": 2, "c": 3}
+
+
+@pytest.mark.parametrize("codec,size,gate,entropy,raw", [("zstd", 0, 0, 0, True), ("zstd", 9, 20, 8.0, False), ("cm", 9, 5, 7.99, True), ("lzma2", 9, 5, 7.99, False), ("lzma2", 9, 9, 7.99, True), ("lzma2", 9, 9, 7.0, False)])
+def test_what_is_stored_raw(codec, size, gate, entropy, raw):
+    from cairnstore.functions import codecs
+
+    assert codecs.store_raw(codec, size, gate, entropy) is raw
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from cairnstore.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("hello")
+    archive, out = str(tmp_path / "archive"), tmp_path / "out"
+    assert main(["pack", archive, str(tmp_path / "in"), "--mode", "fast"]) == 0
+    assert main(["list", archive]) == 0 and main(["info", archive]) == 0 and main(["verify", archive]) == 0
+    assert "in/a.txt" in capsys.readouterr().out
+    assert main(["unpack", archive, "a.txt", "--to", str(out)]) == 0 and (out / "in/a.txt").read_text() == "hello"
+    assert main(["unpack", archive, "nothing", "--to", str(out)]) == 1
+
+
 def test_files_that_cannot_be_read(spark, tmp_path):
     rows = spark.createDataFrame([(str(tmp_path / "gone"),), (str(tmp_path),)], "full string")
     got = fs_tree.with_content(rows).collect()
