@@ -33,13 +33,16 @@ def main(arguments: list[str]) -> int:
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
     if a.verb == "pack":
-        store.pack(fs_tree.tree_entries(spark, a.paths, a.exclude), a.archive, a.mode)
+        entries = fs_tree.tree_entries(spark, a.paths, a.exclude)
+        store.pack(entries, a.archive, a.mode)
     archive = store.Archive(spark, a.archive)
     if a.verb == "unpack":
         missing = [r["ask"] for r in archive.unmatched(a.asks).collect()] if a.asks else []
         for ask in missing:
             print(f"nothing matches {ask}", file=sys.stderr)
-        print(f"{store.unpack(spark, a.archive, a.to, a.asks, a.verify)} entries")
+        read: dict = {}
+        n = store.unpack(spark, a.archive, a.to, a.asks, a.verify, read.update)
+        print(f"{n} entries, {read['bytes']} bytes")
         return 1 if missing else 0
     if a.verb == "list":
         for r in archive.list(long=True).toLocalIterator():

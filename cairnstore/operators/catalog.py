@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cairnstore.functions import scalars as S
@@ -38,6 +38,24 @@ def first_wins(rows: DataFrame, key: str, order: list[str], keep: list[str]) ->
     return rows.groupBy(key).agg(first.alias("first"), F.count("*").alias("n_refs")).select(key, "first.*", "n_refs")
 
 
+def with_groups(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``rows`` with the size ``n`` and the ``first`` member of their group; groups are counted, not gathered."""
+    groups = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return rows.join(groups, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
+def changed_sizes(rows: DataFrame, size: str, content: str) -> DataFrame:
+    """Rows whose content is not as long as it was said to be, with its ``actual`` length."""
+    actual = F.octet_length(content)
+    return rows.withColumn("actual", actual).where(actual != F.col(size))
+
+
+def watched(rows: DataFrame, size: str) -> tuple[DataFrame, Observation]:
+    """``rows`` and what a run over them counts as it goes: rows and bytes, without a run of its own."""
+    seen = Observation()
+    return rows.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")), seen
+
+
 def dedup_report(entries: DataFrame, group: Column) -> DataFrame:
     """Files, distinct contents and bytes, in all and after deduplication, for each group."""
     unique = entries.groupBy(group.alias("grp"), S.content_hash(F.col("content")).alias("hash")).agg(

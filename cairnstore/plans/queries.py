@@ -65,12 +65,12 @@ def dedup_first_wins(spark, sf_dir):
     return C.first_wins(rows, "hash", ["entry_id"], ["entry_id", "name"])
 
 
-@query(f"""SELECT {HASH} AS hash, count(*) AS n, string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY entry_id) AS ids
-FROM {DOCS} GROUP BY 1 HAVING count(*) > 1""")
+@query(f"""SELECT hash, entry_id, n, first FROM (SELECT {HASH} AS hash, entry_id, count(*) OVER (PARTITION BY {HASH}) AS n,
+  min(entry_id) OVER (PARTITION BY {HASH}) AS first FROM {DOCS}) WHERE n > 1""")
 def duplicate_groups(spark, sf_dir):
-    rows = _docs(spark, sf_dir).withColumn("hash", S.content_hash(F.col("content")))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("entry_id")), lambda i: i.cast("string")), ",")
-    return rows.groupBy("hash").agg(F.count("*").alias("n"), ids.alias("ids")).where("n > 1")
+    """Every member of a group of copies with the group's size and first member; no group is gathered."""
+    rows = _docs(spark, sf_dir).select(S.content_hash(F.col("content")).alias("hash"), "entry_id")
+    return C.with_groups(rows, "hash", "entry_id").where("n > 1")
 
 
 HUMAN = """CASE WHEN size < 1024 THEN concat(size, ' B') WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0)
@@ -115,12 +115,15 @@ def stored_name(spark, sf_dir):
     return _docs(spark, sf_dir).select("name", S.stored_name(F.col("name"), "src1").alias("stored"))
 
 
-ROOTS = ["/data/a/x.txt", "/data/a/b/y.txt", "/data/./a/z.txt", "/data/a/"]
+PARENTS = f"""SELECT string_split(concat('/data/', name), '/')[:-2] AS p FROM {DOCS} WHERE starts_with(name, (SELECT min(split_part(name, '/', 1)) FROM {DOCS}))"""
 
 
-@query("SELECT '/data' AS root")
+@query(f"""SELECT array_to_string(a[1:coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])), len(a) + 1) - 1], '/') AS root
+FROM (SELECT min(p) AS a, max(p) AS b FROM ({PARENTS}))""")
 def common_root(spark, sf_dir):
-    return C.common_root(_literal(spark, "path", ROOTS), "path")
+    docs = _docs(spark, sf_dir)
+    first = docs.agg(F.min(F.split_part(F.col("name"), F.lit("/"), F.lit(1)))).first()[0]
+    return C.common_root(docs.where(F.col("name").startswith(first or "")).select(F.concat(F.lit("/data/./"), "name").alias("path")), "path")
 
 
 NAMES = ["a/b", "", "/abs", "../x", "a/../b", "a..b", "a\\..\\b", "..", "x/..", "...", "dir/file"]
@@ -138,9 +141,17 @@ NORM = """(SELECT ord, ask, CASE WHEN rtrim(b, '/') = '' THEN substr(b, 1, 1) EL
   (SELECT ord, ask, regexp_replace(regexp_replace(ask, '^([.]/)+', ''), '^/', '') AS b FROM {v}))"""
 
 
-@query(f"SELECT ask, norm FROM {NORM.format(v=_sql_values('ask', ASKS))}")
+WRITTEN = f"""(SELECT entry_id AS ord, concat(CASE entry_id % 4 WHEN 0 THEN './' WHEN 1 THEN '/' WHEN 2 THEN '././' ELSE '' END, name,
+  CASE entry_id % 3 WHEN 0 THEN '//' WHEN 1 THEN '/' ELSE '' END) AS ask FROM {DOCS} UNION ALL SELECT ord, ask FROM {_sql_values('ask', ASKS)})"""
+
+
+@query(f"SELECT ask, norm FROM {NORM.format(v=WRITTEN)}")
 def normalise_ask(spark, sf_dir):
-    return _literal(spark, "ask", ASKS).select("ask", S.normalise_ask(F.col("ask")).alias("norm"))
+    i = F.col("entry_id")
+    front = F.when(i % 4 == 0, "./").when(i % 4 == 1, "/").when(i % 4 == 2, "././").otherwise("")
+    end = F.when(i % 3 == 0, "//").when(i % 3 == 1, "/").otherwise("")
+    asks = _docs(spark, sf_dir).select(F.concat(front, "name", end).alias("ask")).unionByName(_literal(spark, "ask", ASKS).select("ask"))
+    return asks.select("ask", S.normalise_ask(F.col("ask")).alias("norm"))
 
 
 MATCH = "(name = norm OR regexp_extract(name, '([^/]*)$', 1) = norm OR starts_with(name, concat(norm, '/')))"
@@ -296,12 +307,14 @@ def union_catalog(spark, sf_dir):
     return docs.unionByName(pages).unionByName(conversations).groupBy("tab").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-INPUTS = ["./dup", "dup", "dup/", "a//b", "a/b", "c"]
-
-
-@query("SELECT * FROM (VALUES ('dup', 0), ('a/b', 3), ('c', 5)) t(path, ord)")
+@query(f"SELECT name AS path, entry_id AS ord, 4 AS n FROM {DOCS}")
 def distinct_inputs(spark, sf_dir):
-    return _literal(spark, "path", INPUTS).select(C.clean_path(F.col("path")).alias("path"), "ord").groupBy("path").agg(F.min("ord").alias("ord"))
+    """Each name written in four ways is one input."""
+    docs = _docs(spark, sf_dir).select("entry_id", "name")
+    ways = F.array("name", F.concat(F.lit("./"), "name"), F.concat("name", F.lit("/")), F.regexp_replace("name", "/", "//"))
+    written = docs.select((F.col("entry_id")).alias("ord"), F.explode(ways).alias("path"))
+    clean = written.select(C.clean_path(F.col("path")).alias("path"), "ord")
+    return clean.groupBy("path").agg(F.min("ord").alias("ord"), F.count("*").cast("int").alias("n"))
 
 
 ENTROPY = """(SELECT doc_id, greatest(log2(sum(c)) - sum(c * log2(c)) / sum(c), 0) AS entropy, sum(c) AS n FROM

@@ -353,13 +353,20 @@ class Archive:
         return out
 
 
-def unpack(spark: SparkSession, path: str, target: str, asks: list[str] | None = None, verify: bool = False) -> int:
-    """Write entries below ``target``, a folder that every executor sees; returns how many."""
+def unpack(spark: SparkSession, path: str, target: str, asks: list[str] | None = None, verify: bool = False, report=None) -> int:
+    """Write entries below ``target``, a folder that every executor sees; returns how many.
+
+    ``report`` is called with the rows and bytes that were read, counted in the same run.
+    """
     from cairnstore.sources.restore import write_entries
 
     archive = Archive(spark, path)
     names = archive.entries(asks).select("name", "kind", "mode", "mtime_ns", "link")
     if bad := C.some_names(names.where(~S.safe_name(F.col("name"))), "name"):
         raise ValueError(f"unsafe names: {bad}")
+    rows, seen = C.watched(archive.extract(asks, verify).withColumn("size", F.octet_length("content")), "size")
     with small_batches(spark, 16):
-        return write_entries(archive.extract(asks, verify), target, names)
+        written = write_entries(rows.drop("size"), target, names)
+    if report:
+        report(seen.get)
+    return written

@@ -107,3 +107,17 @@ def test_dictionary_only_if_it_pays():
 @pytest.mark.parametrize("n,want", [(0, 2), ((4 << 20) - 1, 2), (4 << 20, 4), (16 << 20, 16), (99 << 20, 16)])
 def test_dictionary_tiers(n, want):
     assert codecs.dictionary_bytes(n) == want << 20
+
+
+@pytest.mark.parametrize("width,rows,pixel,pad", [(1, 1, 1, 0), (13, 6, 1, 3), (17, 9, 3, 1), (5, 20, 4, 0)])
+def test_gradient(width, rows, pixel, pad):
+    rng = random.Random(width)
+    g = transforms.Raster(7, width * pixel + pad, width * pixel, rows, pixel)
+    data = rng.randbytes(7 + g.stride * rows)
+    out = transforms.gradient(data, g)
+    assert transforms.gradient(out, g, True) == data
+    at = lambda d, y, x: d[7 + y * g.stride + x] if y >= 0 and x >= 0 else 0
+    for y in range(rows):
+        for x in range(width * pixel):
+            guess = at(data, y, x - pixel) + at(data, y - 1, x) - at(data, y - 1, x - pixel)
+            assert at(out, y, x) == (at(data, y, x) - guess) % 256

@@ -199,6 +199,15 @@ def test_tree_hash(spark):
     assert C.some_names(rows.withColumn("d", F.col("d")), "d") == "0000, 0001, 0002 and 50 in all"
 
 
+def test_groups_and_sizes(spark):
+    rows = spark.createDataFrame([("a", 1, b"xy", 2), ("a", 2, b"x", 2), (None, 3, b"", 0), (None, 4, b"z", 1)], "k string, i int, c binary, n long")
+    got = {r["i"]: (r["size"], r["first"]) for r in C.with_groups(rows.select("k", "i"), "k", "i").withColumnRenamed("n", "size").collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 3), 4: (2, 3)}
+    assert [(r["i"], r["actual"]) for r in C.changed_sizes(rows, "n", "c").collect()] == [(2, 1)]
+    seen_rows, seen = C.watched(rows, "n")
+    assert seen_rows.count() == 4 and seen.get == {"rows": 4, "bytes": 5}
+
+
 def test_links_without_a_target_keep_their_own(spark):
     rows = spark.createDataFrame([("a", "x", 1), ("b", "gone", 2), ("c", None, 3)], "name string, link string, n long")
     targets = spark.createDataFrame([("x", 9)], "name string, n long")
