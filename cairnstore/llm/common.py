@@ -10,13 +10,17 @@ from pyspark.sql import types as T
 
 from cairnstore.lineage import checkpointed, shared_folder  # noqa: F401  for the operators of this package
 
-#: Rows in an Arrow batch of long texts; bounds a Python worker's memory.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch; a batch has one row at least.
+BATCH_ROWS, BATCH_BYTES = 256, "16m"
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, as rows here carry whole documents."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, as rows here carry whole documents.
+
+    The bounds are the same for all operators, so it does not matter which of several lazy plans runs first.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def map_columns(df: DataFrame, columns: list[str], make: Callable, schema: str) -> DataFrame:

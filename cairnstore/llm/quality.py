@@ -12,11 +12,13 @@ matter, `good_rows` passes them through. A text of any length is read in blocks,
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnstore.llm.common import filter_rows, held_out, map_columns, training_rows
+from cairnstore.llm.common import checkpointed, filter_rows, held_out, map_columns, training_rows
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -118,19 +120,25 @@ def _counted(rows: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
                 ids,
                 labels,
                 [i.astype("<i4").tobytes() for i, _ in sparse],
-                [c.astype("<i4").tobytes() for _, c in sparse],
+                [c.astype("<i4" if c.max(initial=0) >> 16 else "<u2").tobytes() for _, c in sparse],
+                [crc32(i.astype("<i4").tobytes() + c.astype("<i4").tobytes()) for i, c in sparse],
             )
 
         return work
 
-    table = map_columns(rows, ["doc_id", "text", "label"], make, "doc_id bigint, label int, ids binary, counts binary")
-    out, held = [], 0
-    for r in table.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "ids", "counts").toLocalIterator():
-        held += len(r.ids) + len(r.counts)
-        if held > SAMPLE_BYTES:
-            break
-        out.append((r.doc_id, int(r.label > 0), np.frombuffer(r.ids, "<i4"), np.frombuffer(r.counts, "<i4")))
-    return sorted(out, key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
+    schema = "doc_id bigint, label int, ids binary, counts binary, digest bigint"
+    table = checkpointed(map_columns(rows, ["doc_id", "text", "label"], make, schema))
+    size = (F.octet_length("ids") + F.octet_length("counts")).alias("size")
+    sizes = table.select("doc_id", "label", "digest", size).orderBy(F.xxhash64("doc_id"), "doc_id", "label", "digest").collect()
+    held = np.cumsum([r["size"] for r in sizes])
+    kept = {(r["doc_id"], r["label"], r["digest"]) for r in sizes[: int(np.searchsorted(held, SAMPLE_BYTES, side="right"))]}
+    out = []
+    for r in table.toLocalIterator():
+        if (r["doc_id"], r["label"], r["digest"]) in kept:
+            ids = np.frombuffer(r["ids"], "<i4")
+            wide = len(r["counts"]) == 4 * len(ids)
+            out.append((r["doc_id"], int(r["label"] > 0), ids, np.frombuffer(r["counts"], "<i4" if wide else "<u2"), r["digest"]))
+    return [r[:4] for r in sorted(out, key=lambda r: (r[0], r[1], r[4]))]
 
 
 def train(rows: DataFrame, seed: int = 7) -> tuple[np.ndarray, float]:

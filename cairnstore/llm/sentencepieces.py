@@ -7,7 +7,7 @@ run of markers and every chunk segmented alone.
    frequent of `COMMON_BYTES` bytes at most is segmented once, and this table of distinct chunks is broadcast.
 2. Each text is put together from the table by position. A chunk that is rarer is segmented where it stands and
    kept in the task's own table: joining every rare chunk to one global table by position would shuffle all texts and
-   some 8 % of their words twice. The ids are the same either way.
+   a tenth of their words twice. The ids are the same either way.
 
 Defined results: a null text counts as empty; an empty text has only the begin and end ids; keys may be null or
 repeat, each row is encoded; a chunk of any length is one chunk; other columns do not matter.
@@ -24,7 +24,7 @@ from cairnstore.llm.common import map_columns
 
 MARK = "▁"
 #: Chunks in the broadcast table, and the longest of them.
-COMMON_ROWS, COMMON_BYTES = 300_000, 64
+COMMON_ROWS, COMMON_BYTES = 100_000, 64
 #: Distinct chunks that a task counts before it hands them on, and that it keeps of the rarer ones.
 COUNTED = 300_000
 

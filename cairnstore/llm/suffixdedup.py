@@ -16,9 +16,11 @@ windows are compared one by one instead, as 128-bit hashes in a distributed coun
 
 Anchors are looked up by two bitmaps of `BITS` bits whatever the corpus's size, then joined exactly. Texts are
 shuffled only where some window recurs. What recurs is a property of the text alone, so texts are told apart by
-hash and length; row multiplicity counts, as equal rows repeat each other.
+128 bits of hash; contexts are by 128 bits too, those of the anchor and of the context. Row multiplicity counts, as
+equal rows repeat each other.
 
-Defined results: a null text counts as empty; texts under ``least`` bytes lose nothing; ids may be null or repeat.
+Defined results: a null text counts as empty; texts under ``least`` bytes lose nothing; ids may be null or repeat;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -187,8 +189,13 @@ def _hit(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def _text_keys():
+    """Two independent 64-bit hashes of a text."""
+    return F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))
+
+
 def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(row, n_bytes, first, last, mask): for each text by hash and length, runs of windows of which some recur.
+    """(row, twin, first, last, mask): for each text by its two hashes, runs of windows of which some recur.
 
     A null mask says that all windows of the run recur; else it has one bit a window.
     """
@@ -198,11 +205,11 @@ def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def emit(keep, schema, more):
         def make():
-            def work(rows, texts):
+            def work(rows, twins, texts):
                 out = [[] for _ in range(schema.count(",") + 1)]
-                for row, t in zip(rows, texts, strict=True):
+                for row, twin, t in zip(rows, twins, texts, strict=True):
                     found = _contexts(t, least, None if keep is None else keep.value)
-                    for column, value in zip(out, more(row, found), strict=True):
+                    for column, value in zip(out, more((row, twin), found), strict=True):
                         column.append(value)
                 return [
                     [x for part in column for x in part] if isinstance(column[0], list) else np.concatenate(column)
@@ -211,8 +218,9 @@ def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
             return work
 
-        rows = docs.where(F.octet_length("text") >= least).select(F.xxhash64("text").alias("row"), "text")
-        return map_columns(rows, ["row", "text"], make, schema)
+        row, twin = _text_keys()
+        rows = docs.where(F.octet_length("text") >= least).select(row.alias("row"), twin.alias("twin"), "text")
+        return map_columns(rows, ["row", "twin", "text"], make, schema)
 
     counted = emit(None, "a bigint, c bigint", lambda row, f: (f[0], f[1]))
     anchors = counted.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"))
@@ -222,10 +230,10 @@ def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def placed(row, f):
         n = len(f[0])
-        return f[0], f[1], np.full(n, row, dtype=np.int64), np.full(n, len(f[4]), dtype=np.int64), f[2], f[3]
+        return f[0], f[1], np.full(n, row[0], dtype=np.int64), np.full(n, row[1], dtype=np.int64), f[2], f[3]
 
-    places = emit(seen, "a bigint, c bigint, row bigint, n_bytes bigint, first bigint, last bigint", placed)
-    places = checkpointed(places.groupBy("a", "c", "row", "n_bytes", "first", "last").agg(F.lit(1).alias("one")).drop("one").join(anchors, "a"))
+    places = emit(seen, "a bigint, c bigint, row bigint, twin bigint, first bigint, last bigint", placed)
+    places = checkpointed(places.groupBy("a", "c", "row", "twin", "first", "last").agg(F.lit(1).alias("one")).drop("one").join(anchors, "a"))
 
     def bodies(row, f):
         return f[0], f[1], [f[4][s : e + least] for s, e in zip(f[2].tolist(), f[3].tolist(), strict=True)]
@@ -240,8 +248,8 @@ def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
         _counted_masks(contexts.join(crowded, "a", "left_semi"), least)
     )
     masks = checkpointed(masks)
-    whole = places.where(~F.col("mixed")).select("row", "n_bytes", "first", "last", F.lit(None).cast("binary").alias("mask"))
-    partly = places.where("mixed").join(masks, ["a", "c"]).select("row", "n_bytes", "first", "last", "mask")
+    whole = places.where(~F.col("mixed")).select("row", "twin", "first", "last", F.lit(None).cast("binary").alias("mask"))
+    partly = places.where("mixed").join(masks, ["a", "c"]).select("row", "twin", "first", "last", "mask")
     return whole.unionByName(partly)
 
 
@@ -346,11 +354,12 @@ def _removed(raw: bytes, runs, least: int) -> tuple[bytes, int, int]:
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every document row."""
-    runs = repeated_windows(docs, least).groupBy("row", "n_bytes").agg(F.collect_list(F.struct("first", "last", "mask")).alias("runs"))
-    runs = checkpointed(runs.withColumnRenamed("n_bytes", "run_bytes"))
+    runs = repeated_windows(docs, least).groupBy("row", "twin").agg(F.collect_list(F.struct("first", "last", "mask")).alias("runs"))
+    runs = checkpointed(runs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     near, rest = parted(rows, F.xxhash64("text"), runs, "row")
-    same = (F.xxhash64("text") == F.col("row")) & (F.octet_length("text") == F.col("run_bytes"))
+    row, twin = _text_keys()
+    same = (row == F.col("row")) & (twin == F.col("twin"))
     near = near.join(runs, same, "left")
 
     def make():

@@ -14,7 +14,9 @@ by the two block sizes whatever the table's size.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do null
 ids; only vectors of the query's length are its candidates; rows that repeat an id are candidates each, and a
-query row never meets rows of its own id; fewer than k candidates give fewer rows; an empty table gives none.
+query row never meets rows of its own id; fewer than k candidates give fewer rows; an empty table gives none. A finite
+component so large that a score could leave 64 bits (2^31 / (256 sqrt(width)) and more) is an error. Ties go to the
+smaller vec_id; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,9 +35,12 @@ QUERY_BLOCK = 256
 def quantise(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, width, v array<bigint>) of the vectors that take part."""
     as_double = F.col(embedding).cast("array<double>")
-    finite = ~F.exists(
-        as_double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    )
+    fits = ~F.exists(as_double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    # A score is a sum of ``size`` products; what could leave 64 bits is an error rather than a wrong score.
+    most = F.sqrt(F.lit(2.0**62) / F.size(embedding)) / 256 - 1
+    large = F.raise_error(F.concat(F.lit("components too large for 64-bit scores, id "), F.col(key).cast("string")))
+    large = F.when(F.exists(as_double, lambda x: F.abs(x) > most), large.cast("boolean")).otherwise(F.lit(True))
+    finite = F.when(fits, large).otherwise(F.lit(False))
     return vectors.where(F.col(key).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0)).where(finite).select(
         F.col(key).cast("bigint").alias("vec_id"),
         F.size(embedding).alias("width"),
@@ -46,7 +51,7 @@ def quantise(vectors: DataFrame, key: str = "vec_id", embedding: str = "embeddin
 def _blocks(rows: DataFrame, per_block: int, name: str) -> DataFrame:
     """Pack rows of a width into blocks: (width, name, ids binary, matrix binary), one row for each block."""
     spark = rows.sparkSession
-    bounded_batches(spark, 4096)
+    bounded_batches(spark)
     # Tasks number their own blocks; no count over all rows is needed.
     schema = f"width int, {name} string, ids binary, matrix binary"
 
@@ -183,7 +188,6 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     # Row-block names are a few bytes for each 16,384 rows.
     names = index.groupBy("width").agg(F.collect_list("row_block").alias("row_block"))
     asked = asked.join(names, "width").withColumn("row_block", F.explode("row_block"))
-    bounded_batches(vectors.sparkSession, 1)
     pairs = asked.join(index, ["width", "row_block"]).select("width", "ids", "matrix", "row_block", "row_ids", "row_matrix")
 
     def run(batches):

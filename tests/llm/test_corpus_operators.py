@@ -304,6 +304,9 @@ def test_top_rows(spark, monkeypatch, block):
     got = topk.search(table, F.col("vec_id") % 50 == 0, 5)
     assert sorted(map(tuple, got.collect())) == brute_top(ok, 5)
     assert topk.search(table.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+    if block == 70:
+        with pytest.raises(Exception, match="too large"):
+            topk.quantise(spark.createDataFrame([(1, [1e30, 1.0])], "vec_id long, embedding array<double>")).collect()
 
 
 # ---- shared parts
