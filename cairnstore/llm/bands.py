@@ -110,32 +110,35 @@ def banded_components(
 
 
 def sized_bands(banded: DataFrame) -> DataFrame:
-    """(id, band, m): the rows of ``banded`` (id, band; without repeats) whose band holds m ids, two or more.
+    """(id, size, band, m): the rows of ``banded`` (id, size, band; without repeats) whose band holds m ids, two or more.
 
-    Bands of two are known by their smallest and largest id; only rows of larger ones are read a second time.
+    ``size`` is how much text an id stands for. Bands of two are known by their smallest and largest id; only rows of
+    larger ones are read a second time.
     """
-    sizes = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high"))
+    member = F.struct("id", "size")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("m"), F.min(member).alias("low"), F.max(member).alias("high"))
     sizes = checkpointed(sizes.where(F.col("m") > 1))
-    two = sizes.where(F.col("m") == 2).select(F.explode(F.array("low", "high")).alias("id"), "band", "m")
+    two = sizes.where(F.col("m") == 2).select(F.inline(F.array("low", "high")), "band", "m")
     large = sizes.where(F.col("m") > 2).select("band", "m")
-    more = among(banded, "band", large, exact=False).join(large, "band").select("id", "band", "m")
+    more = among(banded, "band", large, exact=False).join(large, "band").select("id", "size", "band", "m")
     return checkpointed(two.unionByName(more))
 
 
 def _hubs(met: DataFrame, rarest: int | None = None) -> DataFrame:
-    """``met`` (id, band, m) with the hub of each band: its most typical member.
+    """``met`` (id, size, band, m) with the hub of each band: its most typical member.
 
-    That is the one whose bands hold most ids, taken over all its bands. With ``rarest`` each id then goes on only with
-    so many of its bands, the smallest.
+    That is the one whose bands hold most ids, taken over all its bands, and of equals the one of least text, as it
+    has least besides what they share. With ``rarest`` each id then goes on only with so many of its bands, the
+    smallest.
     """
     own = Window.partitionBy("id")  # an id has as many rows as it has features
-    ranked = met.withColumn("score", F.sum(F.log2("m")).over(own))
+    ranked = met.withColumn("score", F.round(F.sum(F.log2("m")).over(own)))
     if rarest:
         ranked = ranked.withColumn("n", F.row_number().over(own.orderBy("m", "band"))).where(F.col("n") <= rarest).drop("n")
     ranked = checkpointed(ranked)
-    typical = F.max(F.struct("score", (-F.col("id")).alias("minus"), "id")).alias("top")
+    typical = F.max(F.struct("score", (-F.col("size")).alias("short"), (-F.col("id")).alias("minus"), "id")).alias("top")
     hubs = ranked.groupBy("band").agg(typical).select("band", F.col("top.id").alias("hub"))
-    return checkpointed(ranked.drop("score").join(hubs, "band"))
+    return checkpointed(ranked.drop("score", "size").join(hubs, "band"))
 
 
 def feature_components(

@@ -156,7 +156,7 @@ def brute_lines(rows, percent=80):
     links = []
     for n, b in enumerate(by_size):
         for a in reversed(by_size[:n]):
-            if 100 * len(sets[a]) < percent * len(sets[b]):
+            if not sets[a] or 100 * len(sets[a]) < percent * len(sets[b]):
                 break
             both = len(sets[a] & sets[b])
             if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
@@ -214,7 +214,7 @@ def test_a_passage_in_many_lines(spark):
             rows.append((3 * k + 1, f"{front} {word()} {passage}"))
     want = brute_lines(rows)
     got = gone_lines(spark, rows)
-    assert len(want) > 30 and got <= want and len(got) >= 0.95 * len(want)
+    assert len(want) >= 30 and got <= want and len(got) >= 0.95 * len(want)
 
 
 def test_lines_of_the_tables_against_all_pairs(spark):
@@ -228,6 +228,8 @@ def test_lines_of_the_tables_against_all_pairs(spark):
         if own:
             whole.append((i, "\n".join(own)))
     want, got = brute_lines(whole), gone_lines(spark, whole)
+    missed = [(i, n, dict(whole)[i].split("\n")[n]) for i, n in sorted(want - got)]
+    assert not missed or len(missed) < 0.03 * len(want), missed
     assert len(want) > 50 and got <= want and len(got) >= 0.97 * len(want)
 
 
