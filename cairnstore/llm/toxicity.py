@@ -22,6 +22,7 @@ in proportion to it; of two words of equal weight it does not matter which comes
 from __future__ import annotations
 
 import re
+from functools import cache
 from math import exp, log
 
 from pyspark.sql import DataFrame
@@ -59,6 +60,8 @@ _LETTERS = {chr(97 + i): i + 1 for i in range(26)}
 _TRIM = ".,;:?%&#\"'`)]}>»”’[{<«“‘…*-_~/\\=^"
 _TAIL = re.compile(r"([^\w])\1+$|[!$+|(@]+$")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}[^\s.\-_*](?=[ .\-_*]|$|\n)){2,}")
+# What any run of three spaced letters ends in; faster to look for.
+_SPACED_HINT = re.compile(r"[ .\-_*][^\s.\-_*][ .\-_*]{1,2}[^\s.\-_*](?=[ .\-_*\n]|\Z)")
 _REPEAT = re.compile(r"(.)\1+")
 _RUN = re.compile(r"(.)\1\1")
 _DISGUISED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(.)\1\1", re.S)
@@ -117,63 +120,68 @@ def language_model(docs: DataFrame) -> list[float]:
 # ---- the channel
 
 
-def ways_at(token: str, k: int) -> list[tuple[int, str, float]]:
-    """(characters read, reading, log channel probability) from place ``k`` on.
+@cache
+def ways_of(c: str, again: bool) -> tuple[tuple[str, int, float], ...]:
+    """(reading, its code, log channel probability) of a character; ``again`` if it repeats the one before.
 
     An empty reading drops a character, a space ends a word.
     """
-    c = token[k]
-    again = k > 0 and token[k - 1] == c
     if c in _LETTERS:
-        ways = [(1, c, -0.05)]
+        ways = [(c, -0.05)]
     elif c in LOOKALIKES:
-        ways = [(1, LOOKALIKES[c], -0.3), (1, c, -2.0)]
+        ways = [(LOOKALIKES[c], -0.3), (c, -2.0)]
     elif c.isalpha():
-        ways = [(1, c, -0.05)]
+        ways = [(c, -0.05)]
     elif c in SEPARATORS:
-        ways, again = [(1, "", -0.1), (1, " ", -0.7)], False
+        ways, again = [("", -0.1), (" ", -0.7)], False
     else:
-        ways = [(1, r, -0.7) for r in READINGS.get(c, "")] + [(1, c, -3.0), (1, "", -4.0)]
+        ways = [(r, -0.7) for r in READINGS.get(c, "")] + [(c, -3.0), ("", -4.0)]
     if again:
-        ways.append((1, "", -0.7))
-    for group in _GROUPS_AT.get(c, ()):
-        if token.startswith(group, k):
-            ways.append((len(group), GROUPS[group], -0.7))
-    return ways
+        ways.append(("", -0.7))
+    return tuple((r, code_of(r), cost if r else cost + DROPPED) for r, cost in ways)
 
 
 _GROUPS_AT = {c: [g for g in GROUPS if g[0] == c] for c in {g[0] for g in GROUPS}}
-_FARTHEST = max(map(len, GROUPS))
 #: What a dropped character costs: about as much as a letter under the language model.
 DROPPED = -1.5
 
 
+def _extend(step: dict, best: dict, reading: str, c: int, cost: float, model: list[float]) -> None:
+    """Put the states of ``best`` with one more reading into ``step`` where they are likelier."""
+    if not reading:
+        for state, (score, chain) in best.items():
+            known = step.get(state)
+            if known is None or score + cost > known[0]:
+                step[state] = (score + cost, chain)
+        return
+    for (a, b), (score, chain) in best.items():
+        value, state = score + cost + model[(a * 28 + b) * 28 + c], (b, c)
+        known = step.get(state)
+        if known is None or value > known[0]:
+            step[state] = (value, (reading, chain))
+
+
 def restore(token: str, model: list[float]) -> str:
     """The likeliest reading of a token, by Viterbi search over states of the last two letters; it may have spaces.
 
     A state holds its reading as a chain of letters that it shares with other states, so what no state leads to any
     more is given up and memory grows with the token only.
     """
-    ahead: list[dict] = [{(EDGE, EDGE): (0.0, None)}] + [{} for _ in range(_FARTHEST)]
-    for k in range(len(token)):
-        best = ahead.pop(0)
-        ahead.append({})
-        for length, reading, cost in ways_at(token, k):
-            step = ahead[length - 1]
-            if reading:
-                c = code_of(reading)
-                cost += DROPPED * (length - 1)
-                for (a, b), (score, chain) in best.items():
-                    value, state = score + cost + model[(a * 28 + b) * 28 + c], (b, c)
-                    if state not in step or value > step[state][0]:
-                        step[state] = (value, (reading, chain))
-            else:
-                for state, (score, chain) in best.items():
-                    value = score + cost + DROPPED
-                    if state not in step or value > step[state][0]:
-                        step[state] = (value, chain)
+    best: dict = {(EDGE, EDGE): (0.0, None)}
+    ahead: dict[int, dict] = {}  # states that groups lead to, by the place where they end
+    before = ""
+    for k, c in enumerate(token):
+        step = ahead.pop(k + 1, None) or {}
+        for reading, code, cost in ways_of(c, c == before):
+            _extend(step, best, reading, code, cost, model)
+        for group in _GROUPS_AT.get(c, ()):
+            if token.startswith(group, k):
+                reading = GROUPS[group]
+                cost = -0.7 + DROPPED * (len(group) - 1)
+                _extend(ahead.setdefault(k + len(group), {}), best, reading, code_of(reading), cost, model)
+        best, before = step, c
     score, chain = max(
-        ((score + model[(a * 28 + b) * 28 + EDGE], chain) for (a, b), (score, chain) in ahead[0].items()), key=lambda x: x[0]
+        ((score + model[(a * 28 + b) * 28 + EDGE], chain) for (a, b), (score, chain) in best.items()), key=lambda x: x[0]
     )
     out = []
     while chain is not None:
@@ -189,9 +197,10 @@ def restorer(model: list[float]):
     def decoded(token: str) -> tuple[str, ...]:
         plain = token.strip(_TRIM)
         if plain.isalpha():
-            out, disguised = [plain], [plain] if _RUN.search(plain) else []
-            if not plain.isascii() and _ALIKE.search(plain) and _LATIN.search(plain):
-                disguised = [plain]
+            mixed = not plain.isascii() and _ALIKE.search(plain) and _LATIN.search(plain)
+            if not mixed and not _REPEAT.search(plain):
+                return (plain,)
+            out, disguised = [plain], [plain] if mixed or _RUN.search(plain) else []
         else:
             bare = _TAIL.sub("", plain).strip(_TRIM) or plain
             out = [] if " " in bare else [bare]
@@ -214,15 +223,20 @@ def restorer(model: list[float]):
     return readings
 
 
+def tokens_of(text: str | None) -> set[str]:
+    """The distinct tokens of a whole text, and the runs of letters that are spaced out."""
+    text = (text or "").lower()
+    out = set(text.split())
+    if _SPACED_HINT.search(text):
+        out.update(m[0] for m in _SPACED.finditer(text) if len(set(m[0]) - SEPARATORS) > 2)
+    return out
+
+
 def words_of(text: str | None, readings) -> set[str]:
     """The distinct restored words of a whole text."""
-    text = (text or "").lower()
     out: set[str] = set()
-    for token in set(text.split()):
+    for token in tokens_of(text):
         out.update(readings(token))
-    for m in _SPACED.finditer(text):
-        if len(set(m[0]) - SEPARATORS) > 2:
-            out.update(readings(m[0]))
     return out
 
 
@@ -275,22 +289,37 @@ def _weights(sample: DataFrame, model: list[float]) -> dict[str, float]:
     return {r.feature: r.w for r in kept.collect()}
 
 
-def _heaviest(text: str | None, readings, weights: dict[str, float], table: dict[str, float]) -> tuple[float, float]:
-    first = second = 0.0
-    get = weights.get
-    for word in words_of(text, readings):
-        w = table.get(word)
-        if w is None:
-            w = max([get(f, 0.0) for f in features_of(word)])
-            if len(word) <= LONGEST_REMEMBERED:
-                if len(table) >= TABLE_ROWS:
-                    table.clear()
-                table[word] = w
-        if w > first:
-            first, second = w, first
-        elif w > second:
-            second = w
-    return first, second
+def weigher(model: list[float], weights: dict[str, float]):
+    """A function from a text to the weights of its two heaviest restored words.
+
+    What it remembers of a token are its words that weigh anything, which for most tokens are none.
+    """
+    readings, table, get = restorer(model), {}, weights.get
+    # Every feature of a word starts like the word.
+    starts = {f.removeprefix("=")[:3] for f in weights}
+
+    def heavy(token: str) -> tuple[tuple[str, float], ...]:
+        found = [(word, max([get(f, 0.0) for f in features_of(word)])) for word in readings(token) if word[:3] in starts]
+        found = tuple((word, w) for word, w in found if w > 0)
+        if len(token) <= LONGEST_REMEMBERED:
+            if len(table) >= TABLE_ROWS:
+                table.clear()
+            table[token] = found
+        return found
+
+    def look(text: str | None) -> tuple[float, float]:
+        words: dict[str, float] = {}
+        known = table.get
+        for token in tokens_of(text):
+            found = known(token)
+            if found is None:
+                found = heavy(token)
+            if found:
+                words.update(found)
+        top = sorted(words.values(), reverse=True)[:2]
+        return (*top, 0.0, 0.0)[:2]
+
+    return look
 
 
 def _layer(rows: list[tuple[float, float, int]]) -> list[float]:
@@ -317,13 +346,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: in
     sample = checkpointed(training_rows(docs, labels, label, bound))
     shared = context.broadcast((model, _weights(sample, model)))
 
-    def heaviest():
-        model, weights = shared.value
-        readings, table = restorer(model), {}
-        return lambda text: _heaviest(text, readings, weights, table)
-
     def fit():
-        look = heaviest()
+        look = weigher(*shared.value)
 
         def work(texts, ys):
             found = [look(t) for t in texts]
@@ -336,7 +360,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: in
     layer = _layer(seen) if seen else None
 
     def make():
-        look = heaviest()
+        look = weigher(*shared.value)
 
         def work(ids, texts, out):
             scores = []

@@ -333,3 +333,26 @@ def test_pipeline(spark):
         docs = spark.read.parquet(f"{DATA}/documents.parquet")
         kept = stage(spark, docs, DATA)
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
+
+
+def test_stages_on_odd_rows(spark):
+    """Null, empty, very long and repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    line = "The quick brown fox jumps over the lazy dog while seven wizards quietly brew a strange potion."
+    passage = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first()["text"]
+    texts = [(1, None), (2, ""), (3, line), (3, line), (4, line), (None, "no id at all"), (5, "word " * 30_000), (6, f"{line[::-1]} {passage} {line[::-1]}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("score", F.lit("x")).withColumn("__n_removed", F.lit(1)).withColumn("__word", F.lit("w"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        rows = out.collect()
+        kept[name] = sorted(r["doc_id"] or 0 for r in rows)
+        assert name == "encode" or out.columns == docs.columns
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert set(kept["quality"]) <= {0, 1, 2, 3, 4, 5, 6}
+    assert kept["line_dedup"] == [0, 1, 2, 3, 3, 5, 6]  # rows of one id and text are one place
+    assert kept["near_dedup"] == [0, 1, 2, 3, 3, 5, 6]
+    assert kept["decontaminate"] == [0, 1, 2, 3, 3, 4, 5]
+    assert kept["encode"] == [0, 1, 2, 3, 3, 4, 5, 6]
