@@ -230,15 +230,16 @@ def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def placed(row, f):
         n = len(f[0])
-        return f[0], f[1], np.full(n, row[0], dtype=np.int64), np.full(n, row[1], dtype=np.int64), f[2], f[3]
-
-    places = emit(seen, "a bigint, c bigint, row bigint, twin bigint, first bigint, last bigint", placed)
-    places = checkpointed(places.groupBy("a", "c", "row", "twin", "first", "last").agg(F.lit(1).alias("one")).drop("one").join(anchors, "a"))
-
-    def bodies(row, f):
-        return f[0], f[1], [f[4][s : e + least] for s, e in zip(f[2].tolist(), f[3].tolist(), strict=True)]
-
-    contexts = emit(mixed, "a bigint, c bigint, body binary", bodies)
+        body = np.full(n, None, dtype=object)
+        for k in np.flatnonzero(_hit(mixed.value, f[0])).tolist():
+            body[k] = f[4][f[2][k] : f[3][k] + least]
+        return f[0], f[1], np.full(n, row[0], dtype=np.int64), np.full(n, row[1], dtype=np.int64), f[2], f[3], body
+
+    # Texts are read once for both, the places of contexts and the bytes of those that differ.
+    found = checkpointed(emit(seen, "a bigint, c bigint, row bigint, twin bigint, first bigint, last bigint, body binary", placed))
+    places = found.groupBy("a", "c", "row", "twin", "first", "last").agg(F.lit(1).alias("one")).drop("one")
+    places = checkpointed(places.join(anchors, "a"))
+    contexts = found.where(F.col("body").isNotNull())
     contexts = contexts.groupBy("a", "c").agg(F.count("*").alias("n"), F.first("body").alias("body"))
     contexts = checkpointed(contexts.join(anchors.where("mixed").select("a"), "a", "left_semi"))
     crowded = contexts.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("a")
