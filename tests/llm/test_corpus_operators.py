@@ -185,6 +185,31 @@ def test_lines_with_one_altered_character(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def lines_under_an_unlike_hub():
+    """(rows, pairs): alike lines, of each pair of which all shared bands are under a typical line that is unlike both."""
+    rng = random.Random(9)
+    rows, pairs = [], []
+    for k in range(40):
+        passage, tail = ([["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(n)] for n in (14, 40)])
+        altered = ["#" + w[1:] if i % 4 == 0 else w for i, w in enumerate(tail)]
+        at = 10 * k
+        rows += [(at + i, " ".join([*passage, str(i)])) for i in range(4)]
+        rows += [(at + 4, " ".join(passage + tail)), (at + 5, " ".join(passage + altered))]
+        pairs.append((at + 4, at + 5))
+    return rows, pairs
+
+
+def test_lines_unlike_the_hub_of_their_band(spark):
+    rows, pairs = lines_under_an_unlike_hub()
+    want = brute_lines(rows)
+    assert {(b, 0) for _, b in pairs} <= want and not {(a, 0) for a, _ in pairs} & want
+    banded = spark.createDataFrame(rows, "doc_id long, line string").select("doc_id", linededup._bands(F.col("line")).alias("bands"))
+    bands_of = {r["doc_id"]: set(r["bands"]) for r in banded.collect()}
+    met = {(b, 0) for a, b in pairs if bands_of[a] & bands_of[b]}
+    got = gone_lines(spark, rows)
+    assert len(met) >= 30 and met <= got <= want
+
+
 def test_unbroken_lines(spark):
     """One character put in at any place of a long word; short lines with a few more characters; rulers."""
     rng = random.Random(8)
