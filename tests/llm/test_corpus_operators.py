@@ -199,7 +199,9 @@ def lines_under_an_unlike_hub():
     return rows, pairs
 
 
-def test_lines_unlike_the_hub_of_their_band(spark):
+@pytest.mark.parametrize("listed", [bands.LISTED, 2])
+def test_lines_unlike_the_hub_of_their_band(spark, monkeypatch, listed):
+    monkeypatch.setattr(bands, "LISTED", listed)
     rows, pairs = lines_under_an_unlike_hub()
     want = brute_lines(rows)
     assert {(b, 0) for _, b in pairs} <= want and not {(a, 0) for a, _ in pairs} & want
