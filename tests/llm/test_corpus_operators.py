@@ -362,6 +362,16 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
 
 
+def test_line_stage_under_an_unlike_hub(spark):
+    """A document whose one line is like that of another goes, also if both are unlike the hub of their bands."""
+    import corpus_pipeline
+
+    rows, pairs = lines_under_an_unlike_hub()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup_lines(spark, docs, DATA).collect()}
+    assert {a for a, _ in pairs} <= kept and sum(b not in kept for _, b in pairs) >= 30
+
+
 def test_stages_on_odd_rows(spark):
     """Null, empty, very long and repeated rows, clashing columns, and no rows at all."""
     import corpus_pipeline
