@@ -372,6 +372,26 @@ def test_line_stage_under_an_unlike_hub(spark):
     assert {a for a, _ in pairs} <= kept and sum(b not in kept for _, b in pairs) >= 30
 
 
+def test_line_stage_on_alike_lines_of_unlike_words(spark):
+    """A few words repeated over and over, and once with so many altered that most distinct words are of one line only."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(20):
+        base = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(9)]
+        words = rng.choices(base, k=240)
+        altered = [f"{w[:3]}{i // 20}{w[4:]}" if i % 20 == 9 else w for i, w in enumerate(words)]
+        both = len(set(words) & set(altered))
+        assert 100 * both < 45 * len(set(words) | set(altered))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(altered))]
+    want = {i for i, _ in brute_lines(rows)}
+    assert len(want) == 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup_lines(spark, docs, DATA).collect()}
+    assert {i for i, _ in rows} - kept == want
+
+
 def test_stages_on_odd_rows(spark):
     """Null, empty, very long and repeated rows, clashing columns, and no rows at all."""
     import corpus_pipeline
