@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -212,6 +213,24 @@ def test_lines_unlike_the_hub_of_their_band(spark, monkeypatch, listed):
     assert len(met) >= 30 and met <= got <= want
 
 
+def test_alike_lines_off_the_hub_are_not_paired(spark, monkeypatch):
+    """80 alike lines under a typical line that is unlike them all: all but one go, with few pairs listed."""
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage, tail = [word(10) for _ in range(14)], [word(10) for _ in range(40)]
+    rows = [(i, " ".join([*passage, str(i)])) for i in range(40)]
+    rows += [(100 + i, " ".join(passage + [f"#{w}" if j == i % 40 else w for j, w in enumerate(tail)] + [str(i)])) for i in range(80)]
+    listed, listing = [], bands._listed
+
+    def counted(members, percent):
+        listed.append(listing(members, percent).count())
+        return listing(members, percent)
+
+    monkeypatch.setattr(bands, "_listed", counted)
+    assert gone_lines(spark, rows) == brute_lines(rows) == {(i, 0) for i in (*range(1, 40), *range(101, 180))}
+    assert sum(listed) <= 80
+
+
 def test_unbroken_lines(spark):
     """One character put in at any place of a long word; short lines with a few more characters; rulers."""
     rng = random.Random(8)
