@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnstore.llm.bands import banded_components, labelled
-from cairnstore.llm.common import among, checkpointed, map_columns, without
+from cairnstore.llm.common import among, checkpointed, discard, map_columns, without
 from cairnstore.llm.graph import connected_components
 
 REGISTERS, ROWS, BANDS = 256, 7, 36
@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return _measured(pairs, sets, percent, gate)
 
     labels = banded_components(met, measure, _members(sets), percent)
+    discard(hubs, met, sets)
     # A doc_id whose rows have different sets joins their classes.
     own = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
     many = checkpointed(own.agg(F.min("digest").alias("one"), F.max("digest").alias("two")).where("one <> two").select("doc_id"))

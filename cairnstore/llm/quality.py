@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnstore.llm.common import checkpointed, filter_rows, held_out, map_columns, training_rows
+from cairnstore.llm.common import checkpointed, discard, filter_rows, held_out, map_columns, training_rows
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -138,6 +138,7 @@ def _counted(rows: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
             ids = np.frombuffer(r["ids"], "<i4")
             wide = len(r["counts"]) == 4 * len(ids)
             out.append((r["doc_id"], int(r["label"] > 0), ids, np.frombuffer(r["counts"], "<i4" if wide else "<u2"), r["digest"]))
+    discard(table)
     return [r[:4] for r in sorted(out, key=lambda r: (r[0], r[1], r[4]))]
 
 

@@ -432,3 +432,17 @@ def test_stages_on_odd_rows(spark):
     assert kept["near_dedup"] == [0, 1, 2, 3, 3, 5, 6]
     assert kept["decontaminate"] == [0, 1, 2, 3, 3, 4, 5]
     assert kept["encode"] == [0, 1, 2, 3, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("name, column", [("quality", "counts"), ("near_dedup", "hashes")])
+def test_stages_discard_their_tables(spark, name, column):
+    """The sample of the quality stage and the sets of near-duplicates are not left in the shared folder."""
+    import corpus_pipeline
+
+    folder = Path(common.shared_folder(spark).removeprefix("file:"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = {p.name for p in folder.iterdir()}
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, DATA)
+    left = [p for p in folder.iterdir() if p.name not in before and any(p.glob("part-*"))]
+    assert not any(column in spark.read.parquet(str(p)).columns for p in left)
+    assert out.count() > 0
