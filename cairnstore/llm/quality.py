@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnstore.llm.common import checkpointed, discard, filter_rows, held_out, map_columns, training_rows
+from cairnstore.llm.common import checkpointed, discard, filter_rows, give_back, held_out, map_columns, training_rows
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -170,6 +170,13 @@ def train(rows: DataFrame, seed: int = 7) -> tuple[np.ndarray, float]:
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
+def _model(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> tuple[np.ndarray, float]:
+    """`train` on the bounded sample, whose memory the driver gives back before stages that run after it."""
+    model = train(training_rows(docs, labels, label, bound))
+    give_back(docs.sparkSession)
+    return model
+
+
 def score_text(text: str | None, logits: np.ndarray, bias: float) -> float:
     """Probability of label 1, from the mean over the whole text, read in blocks."""
     total, n = 0.0, 0
@@ -182,7 +189,7 @@ def score_text(text: str | None, logits: np.ndarray, bias: float) -> float:
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = TRAINING_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document row."""
-    logits, bias = train(training_rows(docs, labels, label, bound))
+    logits, bias = _model(docs, labels, label, bound)
     shared = docs.sparkSession.sparkContext.broadcast(logits)
 
     def make():
@@ -202,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", bound:
 
 def good_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = TRAINING_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that `classify` predicts as label 1."""
-    logits, bias = train(training_rows(docs, labels, label, bound))
+    logits, bias = _model(docs, labels, label, bound)
     shared = docs.sparkSession.sparkContext.broadcast(logits)
 
     def make():

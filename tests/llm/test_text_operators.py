@@ -1,13 +1,16 @@
 """Operators that read each document by itself, against brute force on whole small tables."""
 
+import ctypes
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cairnstore import lineage
 from cairnstore.llm import decontaminate, htmltext, licences, quality, sentencepieces, toxicity
 from cairnstore.llm.queries import piece_model, queries
 
@@ -218,6 +221,26 @@ def test_good_rows(spark):
     assert quality.good_rows(docs.limit(0), labels).count() == 0
 
 
+def test_driver_gives_its_memory_back(spark):
+    """What the driver held of the sample does not stay with it for the stages that run after."""
+
+    def held_mb():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def text(i):
+        rng = np.random.default_rng(i)
+        return bytes(rng.integers(97, 123, 6_000, dtype=np.uint8)).decode()
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(2_000)], "doc_id long, text string").repartition(4)
+    labels = labels_of(spark, [(i, i % 2, 0) for i in range(2_000)])
+    quality.good_rows(docs.limit(50), labels)
+    ctypes.CDLL(None).malloc_trim(0)
+    before = held_mb()
+    quality.good_rows(docs, labels)
+    assert held_mb() - before < 40
+    assert "rim native heap" in lineage.give_back(spark)
+
+
 def test_disguises_are_restored():
     words = "the idiot is a stupid moron and a loser in trash you are such a thing ".split() * 50 + "other plain words of text".split() * 80
     text = " ".join(words)
