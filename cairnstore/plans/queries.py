@@ -329,10 +329,8 @@ def byte_entropy(spark, sf_dir):
 
 @query(f"SELECT doc_id, entropy > 4.5 AS stored FROM {ENTROPY}")
 def store_raw_classifier(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = B.byte_entropy(docs.select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id", "content")
-    sizes = docs.select("doc_id", F.octet_length("text").alias("size"))
-    return found.join(sizes, "doc_id").select("doc_id", B.store_raw(F.col("entropy"), F.col("size"), 4.5).alias("stored"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return B.byte_entropy(rows, "doc_id", "content").select("doc_id", B.store_raw(F.col("entropy"), F.col("n"), 4.5).alias("stored"))
 
 
 V = "CAST(floor(value * 100) AS BIGINT) % 256"

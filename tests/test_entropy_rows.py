@@ -9,7 +9,7 @@ HALF = "abcdefghijklmnop" + "qrstuvwx" * 2  # 4.5 bits a byte exactly
 ROWS = [(1, "some words"), (2, None), (3, ""), (4, "ab"), (4, "bcd"), (5, "x"), (5, None), (5, ""), (None, "no id"), (None, "none"), (6, HALF), (7, HALF + "y"), (8, "é€")]
 
 
-@pytest.mark.parametrize("name", ["byte_entropy"])
+@pytest.mark.parametrize("name", ["byte_entropy", "store_raw_classifier"])
 def test_odd_rows(spark, tmp_path, name):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
