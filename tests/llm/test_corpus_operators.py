@@ -231,6 +231,26 @@ def test_alike_lines_off_the_hub_are_not_paired(spark, monkeypatch):
     assert sum(listed) <= 80
 
 
+def test_lines_compared_in_parts(spark, monkeypatch):
+    """Bands and pairs are dealt out in parts, each with no more rows than there are lines; the result is that of all pairs."""
+    rows, pairs = lines_under_an_unlike_hub()
+    whole = gone_lines(spark, rows)
+    monkeypatch.setattr(bands, "PART_ROWS", 1)
+    monkeypatch.setattr(linededup, "PART_LINES", len(rows) // 3)
+    found, whole_part = [], bands.part
+
+    def counted(members, column, k, parts):
+        out = whole_part(members, column, k, parts)
+        found.append((column, parts, out.count()))
+        return out
+
+    monkeypatch.setattr(bands, "part", counted)
+    assert gone_lines(spark, rows) == whole
+    assert any(column == "dst" and parts > 1 for column, parts, _ in found)
+    assert len([1 for column, parts, _ in found if column == "band" and parts == 4]) >= 4
+    assert sum(1 for column, parts, n in found if parts > 1 and n) > 5
+
+
 def test_unbroken_lines(spark):
     """One character put in at any place of a long word; short lines with a few more characters; rulers."""
     rng = random.Random(8)
